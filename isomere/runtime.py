@@ -3,6 +3,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,3 +56,17 @@ def release(df: DataFrame) -> None:
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Marks ``df`` for broadcast if it has at most ``limit`` rows; ``df`` must be cheap to count."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once per application."""
+    sc = spark.sparkContext
+    if getattr(sc, "_isomere_shipped", False):
+        return
+    top = Path(__file__).resolve().parent
+    to = Path(tempfile.mkdtemp(prefix="isomere-")) / "isomere_package.zip"
+    with zipfile.ZipFile(to, "w") as z:
+        for f in sorted(top.rglob("*.py")):
+            z.write(f, f"{top.name}/{f.relative_to(top)}")
+    sc.addPyFile(str(to))
+    sc._isomere_shipped = True
