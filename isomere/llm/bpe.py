@@ -25,6 +25,8 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import ship
+
 #: Pre-tokens longer than this are encoded anew each time; the memo is emptied at MEMO entries.
 MEMO_CHARS, MEMO = 64, 250_000
 ROWS = 128
@@ -175,6 +177,7 @@ def encode_column(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id"
     leaves the worker.
     """
 
+    ship(df.sparkSession)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()  # millions of small acyclic tuples: nothing to collect
         c = coder(path, pattern)
