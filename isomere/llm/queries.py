@@ -43,6 +43,12 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(docs, machine).select("doc_id", F.coalesce(quality.remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import repeats
+
+    return repeats.removal(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import quality, toxicity
 
@@ -51,4 +57,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, detector).select("doc_id", F.coalesce(quality.remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_simhash, op3_byte_bpe, op4_html_text, op8_quality, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_simhash, op3_byte_bpe, op4_html_text, op8_quality, op9_repeats, op10_toxicity)}
