@@ -35,6 +35,12 @@ def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op7_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import syncmers
+
+    return syncmers.compared(table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import quality
 
@@ -57,4 +63,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, detector).select("doc_id", F.coalesce(quality.remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_simhash, op3_byte_bpe, op4_html_text, op8_quality, op9_repeats, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_simhash, op3_byte_bpe, op4_html_text, op7_syncmers, op8_quality, op9_repeats, op10_toxicity)}
