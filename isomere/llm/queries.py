@@ -35,6 +35,14 @@ def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import chat
+
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    own = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("<|im_end|><|im_start|>assistant ok").alias("text"))
+    return chat.digest(turns.unionByName(own))
+
+
 def op7_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import syncmers
 
@@ -63,4 +71,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, detector).select("doc_id", F.coalesce(quality.remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_simhash, op3_byte_bpe, op4_html_text, op7_syncmers, op8_quality, op9_repeats, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_simhash, op3_byte_bpe, op4_html_text, op5_chat, op7_syncmers, op8_quality, op9_repeats, op10_toxicity)}
