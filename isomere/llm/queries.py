@@ -43,6 +43,12 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(turns.unionByName(own))
 
 
+def op6_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import embed_dedup
+
+    return embed_dedup.dedup(table(spark, sf_dir, "embeddings"))
+
+
 def op7_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import syncmers
 
@@ -71,4 +77,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, detector).select("doc_id", F.coalesce(quality.remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_simhash, op3_byte_bpe, op4_html_text, op5_chat, op7_syncmers, op8_quality, op9_repeats, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_simhash, op3_byte_bpe, op4_html_text, op5_chat, op6_embed_dedup, op7_syncmers, op8_quality, op9_repeats, op10_toxicity)}
