@@ -12,7 +12,7 @@ smallest hash. Then, by tables in the shared folder:
    shard builds one suffix array by induced sorting over its distinct segments
    and marks the starts whose common prefix with a neighbour reaches the window.
 
-A hash with more than ``HOT`` segments is no single shard: its segments are cut
+A hash with more than ``HOT`` kinds of segments is no single shard: they are cut
 by the distance of the start from the hashed string into blocks of fewer
 starts, each dealt by the bytes that all its windows share, and go through 1 to
 3 again, down to single windows if need be.
@@ -39,7 +39,7 @@ from .induced import common_prefixes, levels, mix, suffix_array
 WINDOW, GRAM = 200, 32
 #: Bytes scanned at once; longest run of starts in a segment; segments in a hash before it is cut; segments in a shard.
 BATCH, RUN, HOT, SHARD = 1 << 17, 256, 256, 2500
-BLOCKS = (16, 4, 1)
+BLOCKS = (64, 16, 4, 1)
 _LOW = np.uint64((1 << 31) - 1)
 
 
@@ -205,8 +205,16 @@ def _solve(group: pa.Table) -> pa.Table:
     return pa.table([pa.array(c, pa.int64()) for c in cols], names=["key", "n", "lo", "hi"])
 
 
+def _content(data: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
+
+
 def _cut(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
-    """Cuts segments into blocks of at most ``block`` starts at a fixed distance from the hashed string."""
+    """Cuts segments into blocks of at most ``block`` starts at a fixed distance from the hashed string.
+
+    Blocks that are equal within a segment are given once, and marked at once:
+    a row without data is a run of repeated starts.
+    """
     for batch in batches:
         out: list[tuple] = []
         for key, n, at, h, gram, data in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
@@ -216,18 +224,23 @@ def _cut(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.RecordBat
             where = np.where(lv == gram, np.arange(len(lv)), len(lv) + WINDOW)
             o = np.minimum.accumulate(where[::-1])[::-1][:m] - np.arange(m)
             new = np.flatnonzero((o[1:] // block != o[:-1] // block) | (o[1:] != o[:-1] - 1)) + 1
-            for a, b in zip([0, *new], [*new, m], strict=True):
-                a, b = int(a), int(b)
+            seen: dict[tuple[bytes, bytes], list[tuple[int, int]]] = {}
+            for a, b in zip([0, *new.tolist()], [*new.tolist(), m], strict=True):
                 # what the windows of a full block at this distance share, so that it depends on them alone
                 q, j = a + int(o[a]), int(o[a]) // block * block
                 core = data[q - j : q - j - block + 1 + WINDOW]
                 name = hashlib.blake2b(core, digest_size=8, salt=j.to_bytes(8, "little"), key=(h & (1 << 64) - 1).to_bytes(8, "little")).digest()
-                piece = data[a : b - 1 + WINDOW]
-                sh = hashlib.blake2b(piece, digest_size=8).digest()
-                out.append((key, n, at + a, int.from_bytes(name, "little", signed=True), gram, piece, int.from_bytes(sh, "little", signed=True)))
-        cols = list(zip(*out, strict=True)) if out else [[]] * 7
-        kinds = [pa.int64()] * 5 + [pa.binary(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["key", "n", "first", "h", "gram", "data", "sh"])
+                seen.setdefault((name, data[a : b - 1 + WINDOW]), []).append((a, b))
+            hit = np.zeros(m, bool)
+            for (name, piece), spots in seen.items():
+                out.append((key, n, at + spots[0][0], int.from_bytes(name, "little", signed=True), gram, piece, _content(piece), None))
+                if len(spots) > 1:
+                    for a, b in spots:
+                        hit[a:b] = True
+            out += [(key, n, at + int(a), None, None, None, None, at + int(b)) for a, b in zip(*_runs(hit), strict=True)]
+        cols = list(zip(*out, strict=True)) if out else [[]] * 8
+        kinds = [pa.int64()] * 5 + [pa.binary(), pa.int64(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["key", "n", "first", "h", "gram", "data", "sh", "last"])
 
 
 def _sweep(spark) -> None:
@@ -262,13 +275,14 @@ def marks(docs: DataFrame, text_col: str = "text") -> DataFrame:
                         continue
                     seen.add((key, n))
                     raw = text.encode()
-                    out += [(key, n, w["first"], w["h"], w["h"], raw[w["first"] : w["last"] + WINDOW], w["hot"]) for w in want]
+                    out += [(key, n, w["first"], w["h"], w["h"], d := raw[w["first"] : w["last"] + WINDOW], _content(d) if w["hot"] else 0, w["hot"]) for w in want]
                 if len(seen) > 500_000:
                     seen.clear()
-                cols = list(zip(*out, strict=True)) if out else [[]] * 7
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int64()] * 5 + [pa.binary(), pa.bool_()], strict=True)], ["key", "n", "first", "h", "gram", "data", "hot"])
+                cols = list(zip(*out, strict=True)) if out else [[]] * 8
+                kinds = [pa.int64()] * 5 + [pa.binary(), pa.int64(), pa.bool_()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["key", "n", "first", "h", "gram", "data", "sh", "hot"])
 
-    plain = "key bigint, n bigint, first bigint, h bigint, gram bigint, data binary"
+    plain = "key bigint, n bigint, first bigint, h bigint, gram bigint, data binary, sh bigint"
     pieces = durable(texts.join(asked, ["key", "n"]).select("key", "n", "text", "asked").mapInArrow(take, plain + ", hot boolean"), "repeats-pieces")
     _sweep(spark)
     solved = [copies, even]
@@ -279,17 +293,27 @@ def marks(docs: DataFrame, text_col: str = "text") -> DataFrame:
         dealt = df.select("key", "n", "first", "h", "data", F.pmod(F.xxhash64("h"), F.lit(shards)).alias("shard"))
         return durable(dealt.groupBy("shard").applyInArrow(_solve, "key bigint, n bigint, lo bigint, hi bigint"), "repeats-marks")
 
+    def fold(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Equal segments of a hash become one, and are marked; gives those in few and in many kinds."""
+        kinds = durable(df.groupBy("h", "sh").agg(F.count("*").alias("c"), F.first("data").alias("data"), F.first("gram").alias("gram"), F.min(F.struct("key", "n", "first")).alias("at")), "repeats-kinds")
+        twice = df.join(kinds.filter("c > 1").select("h", "sh"), ["h", "sh"])
+        solved.append(durable(twice.select("key", "n", F.col("first").alias("lo"), (F.col("first") + F.octet_length("data") - WINDOW).alias("hi")), "repeats-twice"))
+        many = kinds.groupBy("h").agg(F.count("*").alias("kinds")).filter("kinds > 1")
+        left = durable(kinds.join(many, "h").select("at.*", "h", "gram", "data", (F.col("kinds") > HOT).alias("hot")), "repeats-left")
+        release(kinds)
+        return left.filter("not hot"), left.filter("hot")
+
+    if not hot.isEmpty():
+        few, hot = fold(hot)
+        cold = cold.select("key", "n", "first", "h", "data").unionByName(few.select("key", "n", "first", "h", "data"))
     solved.append(solve(cold))
     for block in BLOCKS:
         if hot.isEmpty():
             break
-        cut = durable(hot.select("key", "n", "first", "h", "gram", "data").mapInArrow(lambda it, b=block: _cut(it, b), plain + ", sh bigint"), "repeats-cut")
-        stats = cut.groupBy("h").agg(F.count("*").alias("in_hash"), F.min("sh").alias("a"), F.max("sh").alias("b")).filter("in_hash > 1").select("h", (F.col("a") == F.col("b")).alias("even"), (F.col("in_hash") > HOT).alias("hot"))
-        live = durable(cut.join(stats, "h"), "repeats-live")
-        release(cut)
-        solved.append(live.filter("even").select("key", "n", F.col("first").alias("lo"), (F.col("first") + F.octet_length("data") - WINDOW).alias("hi")))
-        solved.append(solve(live.filter("not even and not hot")))
-        hot = live.filter("not even and hot")
+        cut = durable(hot.select("key", "n", "first", "h", "gram", "data").mapInArrow(lambda it, b=block: _cut(it, b), plain + ", last bigint"), "repeats-cut")
+        solved.append(cut.filter("data is null").select("key", "n", F.col("first").alias("lo"), F.col("last").alias("hi")))
+        few, hot = fold(cut.filter("data is not null").drop("last"))
+        solved.append(solve(few))
         _sweep(spark)
     out = solved[0]
     for x in solved[1:]:
