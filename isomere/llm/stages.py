@@ -1,27 +1,46 @@
-"""The stages of the corpus pipeline: (spark, docs, sf_dir) -> DataFrame."""
+"""The stages of the corpus pipeline: (spark, docs, sf_dir) -> DataFrame.
+
+Each works on all rows it is given; all but the last return the columns of
+``documents``, further columns included.
+"""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Drops documents that the classifier, trained on the labelled rows among these, scores under 0.3."""
+    from . import quality as op
+
+    machine = op.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return op.scored(docs, machine, out="_score").filter("_score >= 0.3").select(*docs.columns)
 
 
 def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Keeps the document of the smallest id of each group of near-duplicates; rows without an id stay."""
+    from . import simhash as op
+
+    first = op.dedup(docs).filter("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(first, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.filter("doc_id is null"))
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Cuts repeated passages from the texts; every document stays."""
+    from . import repeats as op
+
+    return op.cleaned(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Takes the mix of sources: a row for each pass over a document, with the words taken."""
+    from . import mixing as op
+
+    return op.texts(docs)
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Encodes what is left with the byte-level vocabulary."""
+    """Encodes what is left with the byte-level vocabulary: id counts and digests of each row."""
     import public_tokenizers
 
     from . import bpe as op
