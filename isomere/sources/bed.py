@@ -14,19 +14,23 @@ LIMIT = 4_294_967_295
 def number(text: Column, what: str) -> Column:
     """An unsigned 32-bit number: digits, with a plus sign at most."""
     value = F.when(text.rlike(r"^\+?[0-9]{1,19}$"), text.try_cast("long"))
-    return F.when(value <= LIMIT, value).otherwise(F.raise_error(F.concat(F.lit(f"invalid {what}: "), F.coalesce(text, F.lit("missing")))).cast("long"))
+    return F.when(text.isNull(), F.lit(None).cast("long")).when(value <= LIMIT, value).otherwise(F.raise_error(F.concat(F.lit(f"invalid {what}: "), F.coalesce(text, F.lit("missing")))).cast("long"))
 
 
 def strand(text: Column) -> Column:
-    return F.when(text.isin("+", "-", "."), text).otherwise(F.raise_error(F.concat(F.lit("invalid strand: "), F.coalesce(text, F.lit("missing")))))
+    return F.when(text.isNull() | text.isin("+", "-", "."), text).otherwise(F.raise_error(F.concat(F.lit("invalid strand: "), F.coalesce(text, F.lit("missing")))))
 
 
 def fields(lines: DataFrame, least: int, what: str, tabs_only: bool = False) -> DataFrame:
     """Adds ``f``: fields of the lines that are neither blank nor comments; white space parts them where no tab does."""
-    df = lines.withColumn("_l", F.regexp_replace("value", r"^\s+|\s+$", "")).filter((F.col("_l") != "") & ~F.col("_l").startswith("#"))
-    f = F.split("_l", "\t") if tabs_only else F.when(F.col("_l").contains("\t"), F.split("_l", "\t")).otherwise(F.split("_l", r"\s+"))
-    df = df.withColumn("_f", f)
-    return df.withColumn("f", F.when(F.size("_f") >= least, F.col("_f")).otherwise(F.raise_error(F.concat(F.lit(f"too few columns in {what}: "), "_l")).cast("array<string>"))).drop("_l", "_f")
+    # nothing is raised for lines that are passed over, in whatever order conditions are evaluated
+    line = F.regexp_replace("value", r"^\s+|\s+$", "")
+    df = lines.withColumn("_l", F.when((line != "") & ~line.startswith("#"), line)).filter(F.col("_l").isNotNull())
+    cut = F.split("_l", "\t") if tabs_only else F.when(F.col("_l").contains("\t"), F.split("_l", "\t")).otherwise(F.split("_l", r"\s+"))
+    # the generator keeps the fields one column, else every use of a field would split the line anew
+    df = df.withColumn("_f", F.explode(F.array(cut)))
+    wide = F.when(F.col("_l").isNull() | (F.size("_f") >= least), F.col("_f")).otherwise(F.raise_error(F.concat(F.lit(f"too few columns in {what}: "), "_l")).cast("array<string>"))
+    return df.withColumn("f", wide).drop("_l", "_f")
 
 
 def _at(k: int) -> Column:
@@ -34,7 +38,7 @@ def _at(k: int) -> Column:
 
 
 def _ordered(s: Column, e: Column) -> Column:
-    return F.when(s <= e, e).otherwise(F.raise_error(F.concat(F.lit("start after end: "), s.cast("string"), F.lit(" "), e.cast("string"))).cast("long"))
+    return F.when(s.isNull() | e.isNull() | (s <= e), e).otherwise(F.raise_error(F.concat(F.lit("start after end: "), s.cast("string"), F.lit(" "), e.cast("string"))).cast("long"))
 
 
 def parse_bed6(lines: DataFrame) -> DataFrame:
