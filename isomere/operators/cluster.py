@@ -132,7 +132,7 @@ def _by_join(places: DataFrame, p: ClusterParams) -> DataFrame:
     up = parents(reps, p) if p.attach else None
     end = roots(reps, up) if up is not None else reps.select(*PLACE, F.col("start").alias("root_start"), F.col("end").alias("root_end"))
     named = reps.select("seed", *PLACE).join(end, PLACE).select("seed", F.col("start").alias("rep_start"), F.col("end").alias("rep_end"), F.col("root_start").alias("unit_start"), F.col("root_end").alias("unit_end"))
-    return seeded.join(named, "seed").select(*PLACE, "rep_start", "rep_end", "unit_start", "unit_end")
+    return seeded.join(named, "seed").select(*PLACE, "id", "n_reads", "rep_start", "rep_end", "unit_start", "unit_end")
 
 
 def solve_island(s: np.ndarray, e: np.ndarray, ids: list[str], minus: bool, p: ClusterParams) -> tuple[np.ndarray, np.ndarray]:
@@ -190,13 +190,13 @@ def _by_island(places: DataFrame, p: ClusterParams) -> DataFrame:
         # one task slice holds whole islands of a contig and strand
         s, e, ids = group["start"].to_numpy(), group["end"].to_numpy(), group["id"].to_pylist()
         rep, unit = solve_island(s, e, ids, group["strand"][0].as_py() == "-", p)
-        return pa.table({"contig": group["contig"], "strand": group["strand"], "start": s, "end": e, "rep_start": s[rep], "rep_end": e[rep], "unit_start": s[unit], "unit_end": e[unit]})
+        return pa.table({"contig": group["contig"], "strand": group["strand"], "start": s, "end": e, "id": group["id"], "n_reads": group["n_reads"], "rep_start": s[rep], "rep_end": e[rep], "unit_start": s[unit], "unit_end": e[unit]})
 
-    return places.groupBy("contig", "strand", "island").applyInArrow(run, "contig string, strand string, start long, end long, rep_start long, rep_end long, unit_start long, unit_end long")
+    return places.groupBy("contig", "strand", "island").applyInArrow(run, "contig string, strand string, start long, end long, id string, n_reads long, rep_start long, rep_end long, unit_start long, unit_end long")
 
 
 def assign(reads: DataFrame, p: ClusterParams = ClusterParams(), island: int = ISLAND) -> DataFrame:
-    """Every different interval with its representative and unit: PLACE, rep_start, rep_end, unit_start, unit_end."""
+    """Every different interval with its representative and unit: PLACE, id, n_reads, rep_start, rep_end, unit_start, unit_end."""
     places = islands(distinct_intervals(reads), ["contig", "strand"])
     size = F.count("*").over(Window.partitionBy("contig", "strand", "island"))
     places = durable(places.withColumn("_size", size), "places")
@@ -207,10 +207,9 @@ def assign(reads: DataFrame, p: ClusterParams = ClusterParams(), island: int = I
 
 def numbered(units: DataFrame, prefix: str = "TU", least: int = 6) -> DataFrame:
     """Adds ``tu_id`` in the order contig, strand, start, end, id. Units, not reads, are numbered in one sorted task."""
-    order = [*PLACE, "id"]
-    n = units.count()
-    w = Window.orderBy(*order)
-    return units.withColumn("tu_id", iv.padded_id(prefix, F.row_number().over(w), n, least))
+    n = F.row_number().over(Window.orderBy(*PLACE, "id")).cast("string")
+    total = F.count("*").over(Window.orderBy(*PLACE, "id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).cast("string")
+    return units.withColumn("tu_id", F.concat(F.lit(prefix), F.lpad(n, F.greatest(F.lit(least), F.length(total)), F.lit("0"))))
 
 
 @dataclass
@@ -225,11 +224,11 @@ def cluster(reads: DataFrame, p: ClusterParams = ClusterParams(), min_count: int
     """Clusters reads (contig, strand, start, end, id); units with fewer than ``min_count`` reads go, and the rest is numbered anew."""
     reads = reads.filter("start < end")
     placed = durable(assign(reads, p, island), "assigned")
-    joined = reads.join(placed, PLACE)
-    counts = joined.groupBy("contig", "strand", "unit_start", "unit_end").agg(F.count("*").alias("n_reads"))
-    reps = distinct_intervals(reads).select(*PLACE, "id").withColumnsRenamed({"start": "unit_start", "end": "unit_end"})
-    units = counts.join(reps, ["contig", "strand", "unit_start", "unit_end"]).filter(F.col("n_reads") >= min_count).withColumnsRenamed({"unit_start": "start", "unit_end": "end"})
-    tus = durable(numbered(durable(units, "units")), "tus").select("tu_id", *PLACE, "id", "n_reads")
+    stands = (F.col("start") == F.col("unit_start")) & (F.col("end") == F.col("unit_end"))
+    units = placed.groupBy("contig", "strand", "unit_start", "unit_end").agg(F.sum("n_reads").alias("n_reads"), F.max(F.when(stands, F.col("id"))).alias("id"))
+    units = units.filter(F.col("n_reads") >= min_count).withColumnsRenamed({"unit_start": "start", "unit_end": "end"})
+    tus = durable(numbered(units), "tus").select("tu_id", *PLACE, "id", "n_reads")
+    joined = reads.join(placed.drop("id", "n_reads"), PLACE)
     own = tus.select("tu_id", "contig", "strand", F.col("start").alias("unit_start"), F.col("end").alias("unit_end"))
     args = ("start", "end", "unit_start", "unit_end")
     membership = joined.join(own, ["contig", "strand", "unit_start", "unit_end"]).select("id", *PLACE, "tu_id", iv.score1(*args).alias("score1"), iv.score2(*args).alias("score2"))
