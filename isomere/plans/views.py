@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..runtime import spread
+
 _READS = """
 SELECT 'chr' || CAST(l_suppkey % 3 + 1 AS {s}) AS contig,
        CASE l_returnflag WHEN 'A' THEN '+' WHEN 'R' THEN '-' ELSE '.' END AS strand,
@@ -31,8 +33,12 @@ SAMPLES_SQL = "SELECT * FROM (VALUES ('s0', 'even'), ('s1', 'odd'), ('s2', 'even
 SAMPLES = [("s0", "even"), ("s1", "odd"), ("s2", "even"), ("s3", "odd")]
 
 
+_USED = {"lineitem": ["l_suppkey", "l_returnflag", "l_partkey", "l_orderkey", "l_quantity", "l_linenumber"], "part": ["p_partkey", "p_size"]}
+
+
 def _view(spark: SparkSession, sf_dir: str, table: str, sql: str) -> DataFrame:
-    return spark.sql(sql.replace(f"FROM {table}", "FROM {t}"), t=spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+    rows = spread(spark.read.parquet(f"{sf_dir}/{table}.parquet").select(*_USED[table]))
+    return spark.sql(sql.replace(f"FROM {table}", "FROM {t}"), t=rows)
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:

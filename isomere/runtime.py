@@ -70,3 +70,9 @@ def ship(spark: SparkSession) -> None:
             z.write(f, f"{top.name}/{f.relative_to(top)}")
     sc.addPyFile(str(to))
     sc._isomere_shipped = True
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deals the rows anew if the scan has fewer tasks than there are cores, as with one small file; else leaves ``df`` alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
