@@ -217,4 +217,41 @@ ORACLES: dict[str, str] = {
     "diagnose_missed": MISSED + f"SELECT *, 'MISS' || lpad(CAST(row_number() OVER (ORDER BY {P}, mode_support DESC) AS VARCHAR), CAST(greatest(4, length(CAST(count(*) OVER () AS VARCHAR))) AS INTEGER), '0') AS candidate_id FROM hinted",
 }
 
+# Rescue: the spec's steps one after another, with one read for each id.
+RESCUE = f"""{MISSED.rstrip()},
+    {{greedy}},
+    rfam AS (SELECT id, contig, strand, family FROM fam),
+    one AS (SELECT id, max(struct_pack(contig := contig, strand := strand, s := start, e := "end")) AS p FROM reads GROUP BY id),
+    rd AS (SELECT id, p.contig AS contig, p.strand AS strand, p.s AS start, p.e AS "end", CASE WHEN p.strand = '-' THEN p.s ELSE p.e END AS p3, CASE WHEN p.strand = '-' THEN p.e ELSE p.s END AS p5 FROM one),
+    own AS (SELECT id, last(tu_id ORDER BY contig, strand, start, "end") AS tu_id FROM members GROUP BY id),
+    fits AS (SELECT r.id, h.contig, h.strand, h.c3, h.c5, h.start AS cs, h."end" AS ce, abs(r.p3 - h.c3) AS d3, abs(r.p5 - h.c5) AS d5, h.mode_support, h.cand_idx
+        FROM kept h JOIN rfam f USING (contig, strand, family) JOIN rd r ON r.id = f.id WHERE abs(r.p3 - h.c3) <= 12 AND abs(r.p5 - h.c5) <= 10),
+    best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d3, d5, mode_support DESC, cand_idx) AS n FROM fits) WHERE n = 1),
+    gate1 AS (SELECT cand_idx FROM best GROUP BY cand_idx HAVING count(*) >= 5),
+    now AS (SELECT o.id, o.tu_id, t.start AS us, t."end" AS ue, CASE WHEN t.strand = '-' THEN t.start ELSE t."end" END AS t3, CASE WHEN t.strand = '-' THEN t."end" ELSE t.start END AS t5 FROM own o LEFT JOIN tus t USING (tu_id)),
+    used AS (SELECT b.* FROM best b JOIN gate1 USING (cand_idx) JOIN rd r USING (id) LEFT JOIN now n USING (id) WHERE n.t3 IS NULL OR d3 < abs(n.t3 - r.p3) OR (d3 = abs(n.t3 - r.p3) AND d5 <= abs(n.t5 - r.p5))),
+    gate2 AS (SELECT cand_idx, row_number() OVER (ORDER BY cand_idx) AS k, count(*) OVER () AS total FROM (SELECT cand_idx FROM used GROUP BY cand_idx HAVING count(*) >= 5)),
+    named AS (SELECT k.*, 'RESC' || lpad(CAST(g.k AS VARCHAR), CAST(greatest(4, length(CAST(total AS VARCHAR))) AS INTEGER), '0') AS rescue_id FROM kept k JOIN gate2 g USING (cand_idx)),
+    final AS (SELECT r.id, r.contig, r.strand, r.start, r."end", coalesce(m.rescue_id, n.tu_id) AS tu_id, coalesce(m.start, n.us) AS us, coalesce(m."end", n.ue) AS ue FROM rd r LEFT JOIN used u USING (id) LEFT JOIN named m ON m.cand_idx = u.cand_idx LEFT JOIN now n ON n.id = r.id)
+"""
+
+
+def _greedy(source: str, near3: int, near5: int) -> str:
+    """Best first, each contig and strand walked by recursion: what lies near a kept one goes."""
+    return f"""ordered AS (SELECT *, row_number() OVER (PARTITION BY contig, strand ORDER BY mode_support DESC, mode_fraction DESC, start, "end") AS o FROM {source}),
+    greedy(contig, strand, o, taken) AS (
+        SELECT contig, strand, 1::BIGINT, [struct_pack(c3 := c3, c5 := c5, o := o)] FROM ordered WHERE o = 1
+        UNION ALL SELECT g.contig, g.strand, g.o + 1, CASE WHEN len(list_filter(g.taken, lambda k: abs(k.c3 - x.c3) <= {near3} AND abs(k.c5 - x.c5) <= {near5})) > 0 THEN g.taken ELSE list_append(g.taken, struct_pack(c3 := x.c3, c5 := x.c5, o := x.o)) END
+        FROM greedy g JOIN ordered x ON x.contig = g.contig AND x.strand = g.strand AND x.o = g.o + 1),
+    ends AS (SELECT contig, strand, last(taken ORDER BY o) AS taken FROM greedy GROUP BY ALL),
+    kept AS (SELECT o.*, row_number() OVER (ORDER BY o.contig, o.strand, o.start, o."end", mode_support DESC) AS cand_idx FROM ordered o JOIN ends e ON e.contig = o.contig AND e.strand = o.strand AND len(list_filter(e.taken, lambda k: k.o = o.o)) > 0)"""
+
+
+def _rescued(select: str) -> str:
+    return RESCUE.replace("{greedy}", _greedy("hinted", 12, 10)) + select
+
+
+ORACLES["rescue_membership"] = _rescued(f"SELECT id, {P}, tu_id, {_score1('f', 'u')} AS score1, {_score2('f', 'u')} AS score2 FROM (SELECT id, {P}, tu_id, us, ue FROM final WHERE tu_id IS NOT NULL) f, LATERAL (SELECT f.us AS start, f.ue AS \"end\") u".replace(f"SELECT id, {P}, tu_id, {_score1('f', 'u')}", f"SELECT id, contig, strand, f.start, f.\"end\", tu_id, {_score1('f', 'u')}", 1))
+ORACLES["rescue_units"] = _rescued("SELECT f.tu_id, any_value(coalesce(n.contig, t.contig)) AS contig, any_value(coalesce(n.strand, t.strand)) AS strand, any_value(coalesce(n.start, t.start)) AS start, any_value(coalesce(n.\"end\", t.\"end\")) AS \"end\", count(*) AS n_reads FROM final f LEFT JOIN tus t USING (tu_id) LEFT JOIN named n ON n.rescue_id = f.tu_id WHERE f.tu_id IS NOT NULL GROUP BY f.tu_id")
 ORACLES["bed12_scan"] = _with(READS, 'x AS (SELECT *, "end" - 300 AS s2 FROM reads)') + """SELECT id, start AS tx_start, "end" AS tx_end, 500::BIGINT AS exon_bp, CASE WHEN start + 200 < s2 THEN 1 ELSE 0 END::BIGINT AS n_introns, CASE WHEN start + 200 < s2 THEN start + 200 END AS intron_start, CASE WHEN start + 200 < s2 THEN s2 END AS intron_end FROM x"""
+ORACLES["dedup_candidates"] = _with(READS, FAM, FMODE, PEAKS, CANDS, _greedy("cands", 400, 400), recursive=True) + f"SELECT {P}, family, family_support, c3, c5, mode_support, mode_fraction, cand_idx FROM kept"
