@@ -35,4 +35,22 @@ n AS (SELECT a AS vec_id, count(*) AS n FROM pairs GROUP BY a)
 SELECT e.vec_id, coalesce(n.n, 0) AS n_links, c.component_id, e.vec_id = c.component_id AS kept FROM e JOIN c USING (vec_id) LEFT JOIN n USING (vec_id)
 """
 
-ORACLES: dict[str, str] = {"op1_mixing": MIXING, "op6_embed_dedup": EMBEDDINGS}
+#: Windows by prefix sums for conversations of turn numbers under 64 (one section), as all of the tables are.
+CHAT = """
+WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -1, i, CASE WHEN i = 0 THEN 'user' ELSE 'assistant' END, '<|im_end|><|im_start|>assistant ok' FROM range(2) t(i)),
+t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, text) AS pos,
+        '<|im_start|>' || replace(replace(role, '<|', '<||'), chr(10), '<|n|>') || chr(10) || replace(text, '<|', '<||') || '<|im_end|>' || chr(10) AS shown, length(replace(text, '<|', '<||')) // 4 + 4 AS tokens FROM r),
+b AS (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM t),
+w AS (SELECT *, before // 1024 AS w FROM b),
+n AS (SELECT *, lead(w, 1) OVER o AS w1, lead(w, 2) OVER o AS w2, lead(before, 1) OVER o AS b1, lead(before, 2) OVER o AS b2 FROM w WINDOW o AS (PARTITION BY conv_id ORDER BY pos)),
+m AS (SELECT conv_id, w, shown FROM n UNION ALL SELECT conv_id, w1, shown FROM n WHERE w1 <> w AND b1 - before <= 256 UNION ALL SELECT conv_id, w2, shown FROM n WHERE w2 <> w1 AND b2 - before <= 256),
+s AS (SELECT conv_id, shown AS first_shown FROM t WHERE pos = 1 AND role = 'system'),
+f AS (SELECT m.conv_id, m.w, sum(length(shown)) + coalesce(max(CASE WHEN first_shown IS NOT NULL THEN length(first_shown) END) FILTER (first_shown IS NOT NULL), 0) * CASE WHEN bool_or(coalesce(shown = first_shown, TRUE)) THEN 0 ELSE 1 END AS size
+    FROM m LEFT JOIN s ON m.conv_id IS NOT DISTINCT FROM s.conv_id GROUP BY m.conv_id, m.w),
+z AS (SELECT conv_id, sum(size)::BIGINT AS formatted_chars FROM f GROUP BY conv_id),
+d AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256, coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '') AS lost FROM t GROUP BY conv_id)
+SELECT d.conv_id, n_turns, turns_sha256, CAST(length(lost) AS BIGINT) AS loss_chars, sha256(lost) AS loss_sha256, formatted_chars FROM d JOIN z ON d.conv_id IS NOT DISTINCT FROM z.conv_id
+"""
+
+ORACLES: dict[str, str] = {"op1_mixing": MIXING, "op5_chat": CHAT, "op6_embed_dedup": EMBEDDINGS}
