@@ -255,3 +255,5 @@ ORACLES["rescue_membership"] = _rescued(f"SELECT id, {P}, tu_id, {_score1('f', '
 ORACLES["rescue_units"] = _rescued("SELECT f.tu_id, any_value(coalesce(n.contig, t.contig)) AS contig, any_value(coalesce(n.strand, t.strand)) AS strand, any_value(coalesce(n.start, t.start)) AS start, any_value(coalesce(n.\"end\", t.\"end\")) AS \"end\", count(*) AS n_reads FROM final f LEFT JOIN tus t USING (tu_id) LEFT JOIN named n ON n.rescue_id = f.tu_id WHERE f.tu_id IS NOT NULL GROUP BY f.tu_id")
 ORACLES["bed12_scan"] = _with(READS, 'x AS (SELECT *, "end" - 300 AS s2 FROM reads)') + """SELECT id, start AS tx_start, "end" AS tx_end, 500::BIGINT AS exon_bp, CASE WHEN start + 200 < s2 THEN 1 ELSE 0 END::BIGINT AS n_introns, CASE WHEN start + 200 < s2 THEN start + 200 END AS intron_start, CASE WHEN start + 200 < s2 THEN s2 END AS intron_end FROM x"""
 ORACLES["dedup_candidates"] = _with(READS, FAM, FMODE, PEAKS, CANDS, _greedy("cands", 400, 400), recursive=True) + f"SELECT {P}, family, family_support, c3, c5, mode_support, mode_fraction, cand_idx FROM kept"
+ORACLES["representative_transcripts"] = _with(READS) + 'SELECT contig AS chrom, strand, start AS tx_start, "end" AS tx_end, id AS name, locus FROM (SELECT *, start // 1500 AS locus, row_number() OVER (PARTITION BY contig, strand, start // 1500 ORDER BY "end" - start DESC, id) AS n FROM reads) WHERE n = 1'
+ORACLES["intersect_transcripts"] = _with(READS, GENES) + f"SELECT g.gene_id AS b_name, count(*) AS n, sum({_bp('r', 'g')})::BIGINT AS overlap_bp FROM reads r JOIN genes g ON {_touch('r', 'g')} WHERE {_bp('r', 'g')} >= 300 GROUP BY g.gene_id"

@@ -5,8 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import intervals as iv
-from ..operators import annotate, cluster, counts, missed, ranges
-from ..operators.components import components
+from ..operators import annotate, cluster, counts, missed, ranges, transcripts
 from ..runtime import durable
 from ..sources import bed, gff
 from . import oracles
@@ -333,6 +332,25 @@ def junction_subset(spark, sf_dir):
     return t.join(other, ["contig", "locus"]).filter("strand <> other").select("contig", "locus", "strand", "other", F.size(iv.introns("x")).cast("long").alias("n_introns"), iv.junctions_subset("x", "y").alias("part"), (iv.introns("x") == iv.introns("y")).alias("same"))
 
 
+def _transcripts(spark, sf_dir):
+    return reads(spark, sf_dir).select(F.col("contig").alias("chrom"), "strand", F.col("start").alias("tx_start"), F.col("end").alias("tx_end"), F.col("id").alias("name"))
+
+
+@query
+def representative_transcripts(spark, sf_dir):
+    """The longest read of each locus and strand."""
+    t = _transcripts(spark, sf_dir).withColumn("locus", F.expr("tx_start div 1500"))
+    return transcripts.representative(t, ["chrom", "strand", "locus"])
+
+
+@query
+def intersect_transcripts(spark, sf_dir):
+    """Reads against genes as spans, any strand, 300 positions at least, counted by gene."""
+    g = genes(spark, sf_dir).select(F.col("contig").alias("chrom"), "strand", F.col("start").alias("tx_start"), F.col("end").alias("tx_end"), F.col("gene_id").alias("name"))
+    pairs = transcripts.intersect_pairs(_transcripts(spark, sf_dir), g, min_bp=300)
+    return pairs.groupBy("b_name").agg(F.count("*").alias("n"), F.sum("overlap_bp").alias("overlap_bp"))
+
+
 # missed modes
 
 
@@ -408,4 +426,3 @@ def rescue_membership(spark, sf_dir):
 
 
 ORACLES = oracles.ORACLES
-del components

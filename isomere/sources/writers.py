@@ -55,3 +55,13 @@ def write_transcripts(path: str, df: DataFrame) -> None:
 def number_text(x: float) -> str:
     """A count without a needless fraction: 2, 1.5."""
     return str(int(x)) if x == int(x) else repr(x)
+
+
+def write_read_isoforms(path: str, df: DataFrame) -> None:
+    """(read, isoform) pairs as two tab-parted columns, sorted."""
+    write_lines(path, lines(df, ["read", "isoform"], "read", "isoform"))
+
+
+def write_counts(path: str, df: DataFrame) -> None:
+    """(isoform_id, count) as CSV; whole counts without a fraction."""
+    write_lines(path, (f"{r.isoform_id},{number_text(r['count'])}" for r in df.orderBy("isoform_id").toLocalIterator()), "isoform_id,count")

@@ -167,3 +167,18 @@ def test_blocks(spark):
     members = spark.createDataFrame([("r1", "chr1", "+", 100, 200, "TU000001"), ("r2", "chr1", "+", 101, 201, "TU000001"), ("r3", "chr1", "+", 300, 400, "TU000002")], "id string, " + PLACE + ", tu_id string")
     got = {r.tu_id: (r.block_count, r.block_sizes, r.block_starts, r.name2, r.gene_list) for r in annotate.anchored_blocks(tus, genes, members).collect()}
     assert got == {"TU000001": (2, "50,40,", "0,60,", "r1,r2,|2", "geneA,geneB"), "TU000002": (1, "10,", "0,", "r3,|1", "geneC"), "TU000003": (1, "8,", "0,", ",|0", ".")}
+
+
+def test_transcripts(spark, tmp_path):
+    from isomere.operators import transcripts
+    from isomere.sources import writers
+
+    t = spark.createDataFrame([("c", "+", 10, 20, "b"), ("c", "-", 12, 22, "a"), ("c", "+", 10, 15, "z")], "chrom string, strand string, tx_start long, tx_end long, name string")
+    assert transcripts.representative(t, ["chrom"]).first().name == "a"
+    assert [r.name for r in transcripts.in_order(t).collect()] == ["z", "b", "a"]
+    assert sorted(tuple(r) for r in transcripts.intersect_pairs(t, t, True, 5).collect()) == [("a", "a", 10), ("b", "b", 10), ("b", "z", 5), ("z", "b", 5), ("z", "z", 5)]
+    writers.write_counts(str(tmp_path / "c.csv"), spark.createDataFrame([("x", 1.5), ("y", 2.0)], "isoform_id string, count double"))
+    assert (tmp_path / "c.csv").read_text() == "isoform_id,count\nx,1.5\ny,2\n"
+    line = "c\t100\t200\tt\t0\t+\t100\t200\t0\t2\t50,30,\t0,70,\tmore"
+    writers.write_transcripts(str(tmp_path / "t.bed"), bed.parse_bed12(spark.createDataFrame([(line,)], "value string")))
+    assert (tmp_path / "t.bed").read_text() == line + "\n"
