@@ -159,7 +159,7 @@ def train(docs: DataFrame, labels: DataFrame, by: int = 5, held: int = 0, max_ro
     kind = docs.schema["doc_id"].dataType.simpleString()
     got = sample(docs, labels, "quality", by, held, max_rows).mapInArrow(run, f"doc_id {kind}, y int, stats array<double>, at binary, val binary").toArrow().to_pylist()
     got.sort(key=lambda r: (str(r["doc_id"]), r["y"], r["at"], r["val"], r["stats"]))
-    return fit(np.array([r["stats"] for r in got]).reshape(len(got), -1), [(np.frombuffer(r["at"], np.int32), np.frombuffer(r["val"], np.float32)) for r in got], np.array([r["y"] for r in got], np.float64))
+    return fit(np.array([r["stats"] for r in got], np.float64).reshape(len(got), len(STATS)), [(np.frombuffer(r["at"], np.int32), np.frombuffer(r["val"], np.float32)) for r in got], np.array([r["y"] for r in got], np.float64))
 
 
 def scored(docs: DataFrame, machine: Machine, out: str = "score", text_col: str = "text") -> DataFrame:

@@ -159,8 +159,10 @@ def test_toxicity_held_out(spark):
     detector = toxicity.train(docs.select("doc_id", "text"), labels)
     got = [(r.score, r.toxic) for r in toxicity.scored(docs, detector).join(labels, "doc_id").collect() if crc32(str(r.doc_id).encode()) % 4 == 2]
     flagged = [y for s, y in got if s >= 0.3]
-    assert sum(flagged) / len(flagged) > 0.95
-    assert sum(flagged) / sum(y for _, y in got) > 0.5
+    # in this table the toxic words of other languages also occur by chance in clean texts
+    assert sum((s >= 0.3) == bool(y) for s, y in got) / len(got) > 0.97
+    assert sum(flagged) / len(flagged) > 0.9
+    assert sum(flagged) / sum(y for _, y in got) > 0.8
 
 
 def test_toxicity_edges(spark):
