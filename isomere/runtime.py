@@ -1,6 +1,8 @@
 """Session helpers: shared scratch folder, durable tables and checked broadcasts."""
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -25,7 +27,9 @@ def shared_dir(spark: SparkSession) -> str:
         if held.isDefined():
             base = held.get()
         else:
-            base = "file://" + tempfile.mkdtemp(prefix="isomere-")
+            folder = tempfile.mkdtemp(prefix="isomere-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            base = "file://" + folder
             spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
 
@@ -34,11 +38,14 @@ def durable(df: DataFrame, name: str = "t") -> DataFrame:
     """Writes ``df`` as Parquet into the shared folder and reads it back.
 
     Cuts lineage like a checkpoint, but columnar and compressed; the files
-    outlive any executor. ``release`` removes them.
+    outlive any executor. ``release`` removes them, and so does the end of the
+    application.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/isomere/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
     out = spark.read.schema(df.schema).parquet(path)
     out._isomere_path = path
     return out
