@@ -71,7 +71,9 @@ def ship(spark: SparkSession) -> None:
     if getattr(sc, "_isomere_shipped", False):
         return
     top = Path(__file__).resolve().parent
-    to = Path(tempfile.mkdtemp(prefix="isomere-")) / "isomere_package.zip"
+    folder = tempfile.mkdtemp(prefix="isomere-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    to = Path(folder) / "isomere_package.zip"
     with zipfile.ZipFile(to, "w") as z:
         for f in sorted(top.rglob("*.py")):
             z.write(f, f"{top.name}/{f.relative_to(top)}")
