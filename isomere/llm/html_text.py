@@ -29,6 +29,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BOILER_TAGS = frozenset("nav footer aside form menu dialog fieldset".split())
 BOILER_WORDS = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert announcement sidebar sidebars side menu menus nav navbar navigation breadcrumb breadcrumbs masthead footer foot header comment comments commentlist reply replies respond disqus discussion share sharing social related recommended recommendations newsletter subscribe subscription signup login popup modal overlay widget widgets toolbar pager pagination legal copyright disclaimer search form".split())
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
+NOT_MAIN = frozenset("ad ads advert advertisement comment comments promo promoted recommended related replies reply sponsored teaser".split())
+MAIN_WORDS = frozenset("article content entry post story".split())
 CONTENT_WORDS = frozenset("article post entry story content main body".split())
 
 _token = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
@@ -73,19 +75,29 @@ def model() -> Node:
     return grow([r for r, _ in LABELLED], [y for _, y in LABELLED])
 
 
-def _named(tag: str, attrs: str) -> bool:
-    """True if the tag's class, id or role names boilerplate, or it is hidden."""
+def _marks(tag: str, attrs: str) -> tuple[bool, bool]:
+    """Whether the tag's class, id or role names boilerplate (or it is hidden), and whether they name the main part."""
     words: set[str] = set()
+    main = False
     for name, a, b, c, hidden in _attr.findall(attrs):
         value, name = a or b or c, name.lower()
         if hidden or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True
-        if name == "role" and value.strip().lower() in BOILER_ROLES:
-            return True
+            return True, False
+        if name == "role":
+            role = value.strip().lower()
+            if role in BOILER_ROLES:
+                return True, False
+            main = main or role in ("main", "article")
         if name in ("class", "id"):
             words.update(_words.findall(re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower()))
+    if tag in ("html", "body"):
+        return False, False
+    if tag in ("article", "main"):
+        # these are main text unless they say that they are none; "has-sidebar" does not
+        return bool(words & NOT_MAIN), False
     hits = words & BOILER_WORDS
-    return bool(hits) and not (hits <= {"header", "side", "form"} and words & CONTENT_WORDS)
+    bad = bool(hits) and not (hits <= {"header", "side", "form"} and words & CONTENT_WORDS)
+    return bad, not bad and (main or tag in ("div", "section", "td") and bool(words & MAIN_WORDS))
 
 
 def blocks(html: str) -> list[tuple[str, tuple[float, ...]]]:
@@ -158,11 +170,11 @@ def blocks(html: str) -> list[tuple[str, tuple[float, ...]]]:
                     break
                 if stack[k][0] in ("ul", "ol", "table", "div", "section", "article", "body", "main", "aside", "nav", "form", "blockquote", "dl"):
                     break
-        plain = tag in ("html", "body", "main", "article")
-        bad = not plain and (tag in BOILER_TAGS or tag == "header" and not inside or _named(tag, attrs) if attrs else not plain and (tag in BOILER_TAGS or tag == "header" and not inside))
-        good = tag in ("article", "main")
-        stack.append((tag, bool(bad), good))
-        boiler += bool(bad)
+        bad, good = _marks(tag, attrs) if attrs else (False, False)
+        bad = bad or tag in BOILER_TAGS or tag == "header" and not inside
+        good = not bad and (good or tag in ("article", "main"))
+        stack.append((tag, bad, good))
+        boiler += bad
         inside += good
         heading += tag in ("h1", "h2", "h3", "h4", "h5", "h6")
         anchors += tag == "a"

@@ -63,6 +63,14 @@ def test_main_text():
     assert len(wrong) <= 2
 
 
+def test_main_text_by_class_and_role():
+    tree = html_text.model()
+    page = """<body><div class="topbar menu">Go</div><div id="content"><div class="entry-header"><h2>Head</h2></div><p>A long first paragraph of the text with a good many words in it, so that it counts.<p>Yes.</p>
+<div class="sidebar"><p>Read this too, it is a rather long teaser with many words in it.</p></div><p>Last one.</p><div class="share-buttons">Share</div></div>
+<article class="comment"><p>I do not agree with this at all, and here is why, at some length.</p></article><div role="alert">Maintenance tonight from eight to nine.</div></body>"""
+    assert html_text.main_text(page, tree) == "Head\nA long first paragraph of the text with a good many words in it, so that it counts.\nYes.\nLast one."
+
+
 def test_pages_frame(spark):
     df = spark.createDataFrame([(1, "u", PAGE), (1, "u", PAGE), (2, None, None), (3, "v", "")], "page_id long, url string, html string")
     got = html_text.extract(df).collect()
