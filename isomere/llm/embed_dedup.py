@@ -8,7 +8,8 @@ as near. Each shard builds a robust-pruned graph; the adjacency lists of a node
 are united over its shards. A shard then searches for its own vectors: greedily
 from its medoid, then through everything within ``low`` of the query. Some of
 its queries are compared with brute force; if the recall of the shard is under
-``recall``, it searches again with a wider reach. Pairs are verified in double
+``recall``, it searches again with a wider reach, and in the end compares all of
+its rows. Pairs are verified in double
 precision: cosine of at least ``threshold`` counts as a link.
 
 A vector that is null, zero, or holds nulls, NaNs or infinities, and a vector
@@ -58,6 +59,16 @@ def centroids(x: np.ndarray, k: int, rounds: int = 6) -> np.ndarray:
     return c
 
 
+def _exact(x: np.ndarray, at: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """All (query, node) index pairs with cosine of ``threshold`` or more, rows ``at`` being compared with all rows."""
+    found = []
+    for b in range(0, len(at), 256):
+        i, j = np.nonzero(x[at[b : b + 256]] @ x.T >= threshold)
+        found.append((at[b + i], j))
+    i, j = (np.concatenate(c) for c in zip(*found, strict=True))
+    return i[i != j], j[i != j]
+
+
 def _link(x: np.ndarray, adj: np.ndarray, own: np.ndarray, threshold: float, recall: float) -> tuple[np.ndarray, np.ndarray]:
     """(query, node) index pairs with cosine of ``threshold`` or more, queries being the own rows."""
     at = np.flatnonzero(own)
@@ -73,8 +84,8 @@ def _link(x: np.ndarray, adj: np.ndarray, own: np.ndarray, threshold: float, rec
         wanted = truth.sum()
         got = np.isin(i, checked).sum()
         if got >= recall * wanted:
-            break
-    return i, j
+            return i, j
+    return _exact(x, at, threshold)
 
 
 def nodes_of(df: DataFrame, id_col: str, vec_col: str, label_col: str) -> DataFrame:

@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from isomere.llm import embed_dedup, induced, mixing, repeats, simhash, syncmers
+from isomere.llm import embed_dedup, graph, induced, mixing, repeats, simhash, syncmers
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -214,6 +214,18 @@ def test_embeddings(spark):
     assert sum(got[r[0]][1] == c for r, (_, c) in zip(rows, want, strict=True)) >= 0.98 * len(rows)
 
 
+def test_embeddings_of_tight_groups_near_each_other():
+    rng = np.random.default_rng(4)
+    centre = rng.normal(size=64)
+    centre /= np.linalg.norm(centre)
+    x = np.concatenate([c + 0.0025 * rng.normal(size=(60, 64)) for c in (centre + 0.028 * rng.normal(size=(6, 64)))] + [rng.normal(size=(100, 64))])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    want = x @ x.T >= 0.93
+    np.fill_diagonal(want, False)
+    i, j = embed_dedup._link(x, graph.build(x), np.ones(len(x), bool), 0.93, 0.98)
+    assert want[:60, 60:360].any() and set(zip(i.tolist(), j.tolist(), strict=True)) == set(zip(*(c.tolist() for c in np.nonzero(want)), strict=True))
+
+
 def test_embedding_edges(spark):
     rows = [(1, [1.0, 0.0], 1), (2, [2.0, 0.0], 1), (3, [1.0, 0.0], None), (4, None, 1), (5, [0.0, 0.0], 1), (6, [float("nan"), 1.0], 1), (7, [1.0, None], 1), (8, [1.0, 0.0, 0.0], 1), (9, [1.0, 0.0], 1), (10, [1.0, 0.1], 1), (11, [1e30, 0.0], 1), (11, [1e30, 0.0], 1), (12, [], 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
