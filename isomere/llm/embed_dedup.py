@@ -3,13 +3,14 @@
 Equal vectors of a label are one node with a count. Centroids for each label
 come from a bounded sample (``sample`` vectors in all, in the order of a hash)
 by spherical k-means, near centroids being merged so that no tight group is
-parted; a vector goes to the shard of its nearest centroid and to those almost
-as near. Each shard builds a robust-pruned graph; the adjacency lists of a node
-are united over its shards. A shard then searches for its own vectors: greedily
-from its medoid, then through everything within ``low`` of the query. Some of
-its queries are compared with brute force; if the recall of the shard is under
-``recall``, it searches again with a wider reach, and in the end compares all of
-its rows. Pairs are verified in double
+parted; a vector is at home in the shard of its nearest centroid. Each shard
+builds a robust-pruned graph of its own vectors and searches it for each:
+greedily from its medoid, then through everything within ``low`` of the query.
+Some of its queries are compared with brute force; if the recall of the shard
+is under ``recall``, it searches again with a wider reach, and in the end
+compares all of its rows. A vector is also a guest in every other shard that
+can hold a vector within ``threshold`` of it (one way for each two shards), and
+there is compared with all rows at home. Pairs are verified in double
 precision: cosine of at least ``threshold`` counts as a link.
 
 A vector that is null, zero, or holds nulls, NaNs or infinities, and a vector
@@ -27,10 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from ..runtime import durable, ship
+from ..runtime import durable, ship, small
 from . import graph
 
-SAMPLE, SHARD, MERGE, MARGIN, COPIES = 16_384, 400, 0.85, 0.03, 3
+SAMPLE, SHARD, MERGE, GUESTS = 16_384, 400, 0.85, 16_384
 
 
 def _unit(a: np.ndarray) -> np.ndarray:
@@ -88,6 +89,45 @@ def _link(x: np.ndarray, adj: np.ndarray, own: np.ndarray, threshold: float, rec
     return _exact(x, at, threshold)
 
 
+def _hook(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Roots (smallest indices) after the edges (i, j) are added to a flat forest."""
+    while len(i):
+        a, b = np.maximum(root[i], root[j]), np.minimum(root[i], root[j])
+        apart = a != b
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        np.minimum.at(root, a, b)
+        while not np.array_equal(up := root[root], root):
+            root = up
+    return root
+
+
+def visits(x: np.ndarray, at: np.ndarray, c: np.ndarray, width: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, shard): the other shards that may hold a vector within ``threshold`` of a row, by one of the two ends of each pair of shards.
+
+    ``at`` is the shard of each row, ``width`` the angle of a shard's farthest
+    own row from its centroid. Own rows of a shard are no nearer to another
+    centroid than to theirs, so a row farther than the threshold's angle from
+    that half-space, or from the shard's cone, has no link there.
+    """
+    angle = np.arccos(min(1.0, max(-1.0, threshold)))
+    sine = np.sin(angle) if threshold > 0 else np.inf
+    shards = np.arange(len(c))
+    rows, to = [], []
+    for b in range(0, len(x), 512):
+        s, mine = x[b : b + 512] @ c.T, at[b : b + 512, None]
+        # a pair of shards is searched in the one of the two that its parity names
+        may = np.where((mine + shards) % 2 == 0, mine < shards, mine > shards)
+        may &= np.arccos(np.clip(s, -1, 1)) <= width + angle + 1e-6
+        k = min(8, len(c))
+        for d in np.argpartition(-s, k - 1, axis=1)[:, :k].T:
+            apart = np.sqrt(np.maximum(0, 2 - 2 * c[d] @ c.T))
+            may &= s[np.arange(len(s)), d][:, None] - s <= sine * apart + 1e-6 if np.isfinite(sine) else True
+        i, j = np.nonzero(may)
+        rows.append(b + i)
+        to.append(j)
+    return np.concatenate(rows), np.concatenate(to)
+
+
 def nodes_of(df: DataFrame, id_col: str, vec_col: str, label_col: str) -> DataFrame:
     """(id, node, valid): ``node`` is a hash of label and vector."""
     v = F.col(vec_col)
@@ -114,85 +154,78 @@ def dedup(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", lab
         spaces[name] = centroids(x, max(1, int(round(len(x) * scale / shard))))
     first_shard = dict(zip(spaces, np.cumsum([0, *(len(c) for c in spaces.values())]).tolist(), strict=False))
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            space = np.array(batch.column(2).to_pylist(), object)
+            names_ = np.array(batch.column(2).to_pylist(), object)
             raw = batch.column(3).to_pylist()
-            out: list[tuple] = []
-            nodes_, copies = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for name in {*space}:
-                at = np.flatnonzero(space == name)
-                if name not in spaces:
-                    out += [(name, nodes_[i], copies[i], True, raw[i]) for i in at]
-                    continue
-                x = _unit(np.array([raw[i] for i in at]))
-                s = x @ spaces[name].T
-                k = min(COPIES, s.shape[1])
-                top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                best = np.take_along_axis(s, top, 1)
-                for r, i in enumerate(at):
-                    for c in range(k):
-                        if best[r, c] >= best[r, 0] - MARGIN:
-                            out.append((str(first_shard[name] + int(top[r, c])), nodes_[i], copies[i], c == 0, x[r].tolist()))
-            cols = list(zip(*out, strict=True)) if out else [[]] * 5
-            kinds = [pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.float64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["shard", "node", "copies", "own", "vec"])
-
-    dealt = durable(nodes.select("node", "copies", "space", "vec").mapInArrow(deal, "shard string, node bigint, copies bigint, own boolean, vec array<double>"), "embed-dealt")
-
-    def matrix(col: pa.ChunkedArray) -> np.ndarray:
-        flat = col.combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        return _unit(flat.reshape(len(col), -1))
-
-    def grow(group: pa.Table) -> pa.Table:
-        ids = group["node"].to_numpy()
-        x = matrix(group["vec"])
-        adj = graph.build(x)
-        return pa.table({"node": ids, "near": pa.array([ids[a[a >= 0]] for a in adj], pa.list_(pa.int64()))})
-
-    lists = dealt.groupBy("shard").applyInArrow(grow, "node bigint, near array<bigint>")
-    united = durable(lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "embed-graph")
+            shards, at, angle, unit = [""] * len(names_), np.zeros(len(names_), np.int32), np.zeros(len(names_)), [None] * len(names_)
+            for name in {*names_}:
+                rows_ = np.flatnonzero(names_ == name)
+                x = _unit(np.array([raw[i] for i in rows_]))
+                if name in spaces:
+                    s = x @ spaces[name].T
+                    at[rows_] = s.argmax(1)
+                    angle[rows_] = np.arccos(np.clip(s.max(1), -1, 1))
+                for r, i in enumerate(rows_):
+                    shards[i] = str(first_shard[name] + int(at[i])) if name in spaces else name
+                    unit[i] = x[r]
+            yield pa.RecordBatch.from_arrays([pa.array(shards, pa.string()), batch.column(0), batch.column(1), batch.column(2), pa.array(at), pa.array(angle), pa.array(unit, pa.list_(pa.float64()))], ["shard", "node", "copies", "space", "at", "angle", "vec"])
+
+    home = durable(nodes.select("node", "copies", "space", "vec").mapInArrow(settle, "shard string, node bigint, copies bigint, space string, at int, angle double, vec array<double>"), "embed-home")
+    width = {name: np.zeros(len(c)) for name, c in spaces.items()}
+    for r in home.groupBy("space", "at").agg(F.max("angle").alias("angle")).toLocalIterator():
+        if r.space in width:
+            width[r.space][r["at"]] = r.angle
+
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names_ = np.array(batch.column(2).to_pylist(), object)
+            at, vecs_ = batch.column(3).to_numpy(), batch.column(4)
+            src, to = [], []
+            for name in {*names_} & {*spaces}:
+                rows_ = np.flatnonzero(names_ == name)
+                x = vecs_.take(pa.array(rows_)).flatten().to_numpy(zero_copy_only=False).reshape(len(rows_), -1)
+                r, c = visits(x, at[rows_], spaces[name], width[name], threshold)
+                src.append(rows_[r])
+                to += (first_shard[name] + c).astype(str).tolist()
+            src = pa.array(np.concatenate(src) if src else np.zeros(0, np.int64), pa.int64())
+            for b in range(0, len(to), 65536):
+                some_ = src.slice(b, 65536)
+                yield pa.RecordBatch.from_arrays([pa.array(to[b : b + 65536], pa.string()), *(batch.column(k).take(some_) for k in (0, 1, 4))], ["shard", "node", "copies", "vec"])
+
+    guests = durable(home.select("node", "copies", "space", "at", "vec").mapInArrow(visit, "shard string, node bigint, copies bigint, vec array<double>"), "embed-guests")
+    # a shard of many guests is searched in several parts, its own rows being in each
+    parts = durable(guests.groupBy("shard").agg(F.ceil(F.count("*") / GUESTS).cast("int").alias("parts")), "embed-parts")
+    owners = home.join(small(parts), "shard", "left").select("shard", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"), "node", "copies", F.lit(True).alias("own"), "vec")
+    callers = guests.join(small(parts), "shard").select("shard", F.pmod(F.xxhash64("node", F.lit(2)), F.col("parts")).cast("int").alias("part"), "node", "copies", F.lit(False).alias("own"), "vec")
 
     def search(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks().sort_by([("own", "descending"), ("node", "ascending")])
         ids, own, copies = group["node"].to_numpy(), group["own"].to_numpy(zero_copy_only=False).astype(bool), group["copies"].to_numpy()
-        x = matrix(group["vec"])
-        place = {int(v): i for i, v in enumerate(ids)}
-        near = [[place[v] for v in a if v in place] for a in group["near"].to_pylist()]
-        adj = np.full((len(ids), max(1, max(map(len, near), default=1))), -1, np.int64)
-        for i, a in enumerate(near):
-            adj[i, : len(a)] = a
-        i, j = _link(x, adj, own, threshold, recall)
-        # both ways, once each
-        a, b = np.minimum(i, j), np.maximum(i, j)
-        code = np.unique(a * len(ids) + b)
-        a, b = code // len(ids), code % len(ids)
-        inner = own[a] & own[b]
-        n = np.zeros(len(ids), np.int64)
-        np.add.at(n, a[inner], copies[b[inner]])
-        np.add.at(n, b[inner], copies[a[inner]])
-        root = np.arange(len(ids))
-        while True:  # smallest index within the shard
-            new = root.copy()
-            np.minimum.at(new, a[inner], root[b[inner]])
-            np.minimum.at(new, b[inner], root[a[inner]])
-            new = np.minimum(new, new[new])
-            if np.array_equal(new, root):
-                break
-            root = new
-        mine = np.flatnonzero(own)
-        cross = np.flatnonzero(~inner)
-        # kind 0: a node with its links inside and a node it hangs on; kind 1: a link to a node that is at home elsewhere
-        return pa.table({
-            "kind": np.concatenate([np.zeros(len(mine), np.int32), np.ones(len(cross), np.int32)]),
-            "a": np.concatenate([ids[mine], np.minimum(ids[a[cross]], ids[b[cross]])]), "b": np.concatenate([ids[root[mine]], np.maximum(ids[a[cross]], ids[b[cross]])]),
-            "ca": np.concatenate([n[mine], np.where(ids[a[cross]] < ids[b[cross]], copies[a[cross]], copies[b[cross]])]), "cb": np.concatenate([np.zeros(len(mine), np.int64), np.where(ids[a[cross]] < ids[b[cross]], copies[b[cross]], copies[a[cross]])]),
-        })
-
-    found = durable(dealt.join(united, "node").select("shard", "node", "copies", "own", "vec", "near").groupBy("shard").applyInArrow(search, "kind int, a bigint, b bigint, ca bigint, cb bigint"), "embed-links")
-    inside = found.filter("kind = 0").select(F.col("a").alias("node"), F.col("ca").alias("n"))
-    cross = found.filter("kind = 1").select("a", "b", "ca", "cb").distinct()
-    across = cross.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("cb").alias("n")), F.struct(F.col("b").alias("node"), F.col("ca").alias("n")))).alias("s")).select("s.*")
-    counts = inside.unionByName(across).groupBy("node").agg(F.sum("n").alias("n"))
+        flat = group["vec"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        x = _unit(flat.reshape(len(ids), -1))
+        m = int(own.sum())  # own rows stand first
+        n, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
+        if group["part"][0].as_py() == 0:
+            i, j = _link(x[:m], graph.build(x[:m]), np.ones(m, bool), threshold, recall)
+            # both ways, once each
+            code = np.unique(np.minimum(i, j) * len(ids) + np.maximum(i, j))
+            i, j = code // len(ids), code % len(ids)
+            np.add.at(n, i, copies[j])
+            np.add.at(n, j, copies[i])
+            root = _hook(root, i, j)
+        for b in range(m, len(ids), 256):
+            # guests are compared with every own row
+            i, j = np.nonzero(x[b : b + 256] @ x[:m].T >= threshold)
+            i += b
+            np.add.at(n, i, copies[j])
+            np.add.at(n, j, copies[i])
+            root = _hook(root, i, j)
+        at = np.flatnonzero(n)
+        return pa.table({"a": ids[at], "b": ids[root[at]], "n": n[at]})
+
+    found = durable(owners.unionByName(callers).groupBy("shard", "part").applyInArrow(search, "a bigint, b bigint, n bigint"), "embed-links")
+    counts = found.groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
     comp = components(found.filter("a <> b").select("a", "b"))
     root = nodes.select("node", "copies", "first").join(comp, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = root.groupBy("root").agg(F.min("first").alias("component_id"))

@@ -226,6 +226,31 @@ def test_embeddings_of_tight_groups_near_each_other():
     assert want[:60, 60:360].any() and set(zip(i.tolist(), j.tolist(), strict=True)) == set(zip(*(c.tolist() for c in np.nonzero(want)), strict=True))
 
 
+def test_embeddings_across_shards(spark, monkeypatch):
+    monkeypatch.setattr(embed_dedup, "GUESTS", 100, raising=False)
+    rng = np.random.default_rng(6)
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(rng.normal(size=(1500, 6)))] + [(5000, [1.0] * 6, 0), (5001, [2.0] * 6, 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    want = links_by_hand(rows)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embed_dedup.dedup(df, shard=80).collect()}
+    assert sum(n for n, _ in got.values()) >= 0.98 * sum(n for n, _ in want)
+    assert all(got[r[0]][0] <= n for r, (n, _) in zip(rows, want, strict=True))
+    assert sum(got[r[0]][1] == c for r, (_, c) in zip(rows, want, strict=True)) >= 0.98 * len(rows)
+
+
+def test_guests_reach_every_shard_of_a_link():
+    rng = np.random.default_rng(7)
+    for dims in (3, 8, 64):
+        x = embed_dedup._unit(rng.normal(size=(1200, min(dims, 8))) @ rng.normal(size=(min(dims, 8), dims)))
+        c = embed_dedup.centroids(x, 20)
+        s = x @ c.T
+        at = s.argmax(1)
+        width = np.array([np.arccos(np.clip(s[at == k, k].min(), -1, 1)) if (at == k).any() else 0 for k in range(len(c))])
+        seen = set(zip(*(v.tolist() for v in embed_dedup.visits(x, at, c, width, 0.93)), strict=True))
+        i, j = np.nonzero(x @ x.T >= 0.93)
+        assert len(c) > 3 and all(((a, at[b]) in seen) != ((b, at[a]) in seen) for a, b in zip(i.tolist(), j.tolist(), strict=True) if at[a] != at[b])
+
+
 def test_embedding_edges(spark):
     rows = [(1, [1.0, 0.0], 1), (2, [2.0, 0.0], 1), (3, [1.0, 0.0], None), (4, None, 1), (5, [0.0, 0.0], 1), (6, [float("nan"), 1.0], 1), (7, [1.0, None], 1), (8, [1.0, 0.0, 0.0], 1), (9, [1.0, 0.0], 1), (10, [1.0, 0.1], 1), (11, [1e30, 0.0], 1), (11, [1e30, 0.0], 1), (12, [], 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
