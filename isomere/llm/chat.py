@@ -9,8 +9,9 @@ belongs to window (tokens before it) div span. A window repeats the system turn
 (the first one, if it is of that role) and at most ``HISTORY`` turns before it,
 as far as they fit into ``HISTORY_TOKENS``; only its own assistant turns are
 under the loss mask, so repeated targets are masked and each is learned once.
-Long conversations are worked on in sections of ``SECTION`` turn numbers, so a
-huge one is spread over tasks until its windows are joined at the end.
+Long conversations are numbered in sections of ``SECTION`` turn numbers, so a
+huge one is spread over tasks until its windows are joined at the end; windows
+and history depend on the order of turns alone and cross sections.
 
 Turns are ordered by turn number (null last), then role, then text; null roles
 and texts are empty; repeated rows are turns of their own; the null conversation
@@ -44,55 +45,57 @@ def _role_in(role: Column) -> Column:
 def windows(turns: DataFrame, span: int = SPAN, history: int = HISTORY, history_tokens: int = HISTORY_TOKENS) -> DataFrame:
     """(conv_id, section, window, formatted, repeated, loss) records.
 
+    ``section`` is the one of the window's first own turn.
     ``repeated`` is the number of leading turns that were seen before;
     ``loss`` holds the start and length, in code points from 0, of the stretches
     of ``formatted`` that are learned.
     """
     role, text = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("role", "text"))
-    turn = F.col("turn").cast("long")
+    turn, conv = F.col("turn").cast("long"), F.col("conv_id")
     df = turns.select(
-        "conv_id", turn.isNull().alias("_last"), F.coalesce(turn, F.lit(0)).alias("turn"), F.coalesce(F.floor(turn / SECTION), F.lit(2**60)).alias("section"),
-        role.alias("role"), text.alias("_raw"), F.concat(F.lit(START), _role_out(role), F.lit("\n")).alias("_head"), escape(text).alias("_text"),
+        "conv_id", conv.isNull().alias("_none"), F.coalesce(conv.cast("string"), F.lit("")).alias("_key"),
+        turn.isNull().alias("_last"), F.coalesce(turn, F.lit(0)).alias("turn"), F.coalesce(F.floor(turn / SECTION), F.lit(2**60)).alias("section"), role.alias("role"), text.alias("_raw"),
     )
-    df = df.withColumns({"_shown": F.concat("_head", "_text", F.lit(END + "\n")), "_tokens": (F.char_length("_text") / 4).cast("long") + 4})
-    order = ["_last", "turn", "role", "_raw"]
-    first = df.groupBy("conv_id").agg(F.min(F.struct(*order, "section", "_shown")).alias("_first"))
-    system = first.filter("_first.role = 'system'").select(F.col("conv_id").alias("_conv"), F.col("_first.section").alias("_at"), F.col("_first._shown").alias("_system"))
-    # the last turns of a section stand as history before the next one
-    tail = (F.col("turn") % SECTION >= SECTION - history) & ~F.col("_last")
-    spots = F.array_compact(F.array(F.struct(F.col("section").alias("s"), F.lit(1).alias("own")), F.when(tail, F.struct((F.col("section") + 1).alias("s"), F.lit(0).alias("own")))))
-    df = df.withColumn("_spot", F.explode(spots)).withColumns({"section": F.col("_spot.s"), "_own": F.col("_spot.own")}).drop("_spot")
-    part = Window.partitionBy("conv_id", "section")
-    rows = part.orderBy("_own", *order)
-    df = df.withColumns({
-        "_pos": F.row_number().over(rows),
-        "_before": F.coalesce(F.sum(F.col("_tokens") * F.col("_own")).over(rows.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-        "_real": F.max("_own").over(part),
-    })
-    df = df.filter("_real = 1").withColumn("_w", F.when(F.col("_own") == 1, F.floor(F.col("_before") / span)).otherwise(-1))
-    seen = []
-    for k in range(1, history + 1):
-        w, at = F.lead("_w", k).over(rows), F.lead("_before", k).over(rows)
-        nearer = F.lead("_w", k - 1).over(rows) if k > 1 else F.col("_w")
-        fits = F.when(F.col("_own") == 1, at - F.col("_before")).otherwise(0) <= history_tokens
-        seen.append(F.when((w != nearer) & fits, w))
-    df = df.withColumn("_into", F.array_compact(F.array(F.when(F.col("_own") == 1, F.struct(F.col("_w").alias("w"), F.lit(1).alias("own"))), *(F.when(c.isNotNull(), F.struct(c.alias("w"), F.lit(0).alias("own"))) for c in seen))))
-    df = df.withColumn("_to", F.explode("_into")).withColumns({"window": F.col("_to.w"), "_own": F.col("_to.own")})
-    within = Window.partitionBy("conv_id", "section", "window").orderBy("_own", "_pos")
-    df = df.withColumn("_start", F.coalesce(F.sum(F.char_length("_shown")).over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.char_length("_head"))
+    key, order = ["_none", "_key"], ["_last", "turn", "role", "_raw"]
+    head = F.concat(F.lit(START), _role_out(F.col("role")), F.lit("\n"))
+    shown = F.concat(head, escape(F.col("_raw")), F.lit(END + "\n"))
+    first = df.groupBy("conv_id").agg(F.min(F.struct(*order)).alias("_first"))
+    system = first.filter("_first.role = 'system'").select(F.col("conv_id").alias("_conv"), F.col("_first.role").alias("role"), F.col("_first._raw").alias("_raw")).select("_conv", shown.alias("_system"))
+    # places and prefix sums within sections, then those of the sections
+    rows = Window.partitionBy(*key, "section").orderBy(*order)
+    df = df.withColumn("_tokens", (F.char_length(escape(F.col("_raw"))) / 4).cast("long") + 4)
+    df = df.withColumns({"_pos": F.row_number().over(rows), "_before": F.coalesce(F.sum("_tokens").over(rows.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
+    df = df.withColumns({f"_lead{k}": F.lead("_before", k).over(rows) for k in range(1, history + 1)})
+    along = Window.partitionBy(*key).orderBy("section")
+    earlier, later = along.rowsBetween(Window.unboundedPreceding, -1), along.rowsBetween(1, max(1, history))
+    parts = df.groupBy(*key, "section").agg(F.sum("_tokens").alias("_sum"), F.count("*").alias("_n"), F.array_sort(F.collect_list(F.when(F.col("_pos") <= history, F.col("_before")))).alias("_starts"))
+    parts = parts.withColumns({"_offset": F.coalesce(F.sum("_sum").over(earlier), F.lit(0)), "_place": F.coalesce(F.sum("_n").over(earlier), F.lit(0))})
+    # the tokens before each of the turns that follow a section, in whichever sections these are
+    parts = parts.withColumn("_starts", F.transform("_starts", lambda t: t + F.col("_offset"))).withColumn("_after", F.flatten(F.collect_list("_starts").over(later)))
+    df = df.join(parts.select(*key, "section", "_n", "_offset", "_place", "_after"), [*key, "section"])
+    df = df.withColumn("_before", F.col("_before") + F.col("_offset"))
+    at = [F.col("_before"), *(F.coalesce(F.col(f"_lead{k}") + F.col("_offset"), F.get("_after", (F.lit(k - 1) - F.col("_n") + F.col("_pos")).cast("int"))) for k in range(1, history + 1))]
+    into = [F.struct(F.floor(at[0] / span).alias("w"), F.lit(1).alias("own"))]
+    for nearer, a in zip(at, at[1:], strict=False):
+        w = F.floor(a / span)
+        into.append(F.when((w != F.floor(nearer / span)) & (a - F.col("_before") <= history_tokens), F.struct(w.alias("w"), F.lit(0).alias("own"))))
+    df = df.select("conv_id", "section", "role", "_raw", (F.col("_place") + F.col("_pos")).alias("_pos"), F.explode(F.array_compact(F.array(*into))).alias("_to")).withColumns({"window": F.col("_to.w"), "_own": F.col("_to.own")}).drop("_to")
+    within = Window.partitionBy("conv_id", "window").orderBy("_own", "_pos")
+    df = df.withColumn("_start", F.coalesce(F.sum(F.char_length(shown)).over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.char_length(head))
     learned = (F.col("_own") == 1) & (F.col("role") == "assistant")
-    packed = df.groupBy("conv_id", "section", "window").agg(
-        F.array_sort(F.collect_list(F.struct("_own", "_pos", "_shown"))).alias("_turns"),
-        F.array_sort(F.collect_list(F.when(learned, F.struct(F.col("_start").alias("start"), F.char_length("_text").cast("long").alias("length"))))).alias("_loss"),
+    packed = df.groupBy("conv_id", "window").agg(
+        F.min(F.when(F.col("_own") == 1, F.col("section"))).alias("section"),
+        F.array_sort(F.collect_list(F.struct("_own", "_pos", shown.alias("_shown")))).alias("_turns"),
+        F.array_sort(F.collect_list(F.when(learned, F.struct(F.col("_start").alias("start"), F.char_length(escape(F.col("_raw"))).cast("long").alias("length"))))).alias("_loss"),
     )
     packed = packed.join(system, F.col("conv_id").eqNullSafe(F.col("_conv")), "left")
-    shown = F.array_join(F.transform("_turns", lambda t: t["_shown"]), "")
+    joined = F.array_join(F.transform("_turns", lambda t: t["_shown"]), "")
     # the system turn stands in its own window already, and may be there as history
     there = F.exists("_turns", lambda t: t["_shown"] == F.col("_system"))
     add = F.col("_system").isNotNull() & ~there
     shift = F.when(add, F.char_length("_system")).otherwise(0)
     return packed.select(
-        "conv_id", "section", "window", F.concat(F.when(add, F.col("_system")).otherwise(""), shown).alias("formatted"),
+        "conv_id", "section", "window", F.concat(F.when(add, F.col("_system")).otherwise(""), joined).alias("formatted"),
         (F.size(F.filter("_turns", lambda t: t["_own"] == 0)) + F.when(add, 1).otherwise(0)).alias("repeated"),
         F.transform("_loss", lambda s: F.struct((s["start"] + shift).alias("start"), s["length"].alias("length"))).alias("loss"),
     )

@@ -7,6 +7,7 @@ from zlib import crc32
 
 import numpy as np
 import public_tokenizers as P
+import pytest
 import tiktoken
 
 from isomere.llm import bpe, chat, html_text, quality, toxicity
@@ -117,6 +118,34 @@ def test_chat_windows_repeat_system_and_history(spark):
     assert learned == [x for _, _, role, x in rows if role == "assistant"]
 
 
+def windows_by_hand(turns, span, history, history_tokens):
+    """(formatted, repeated, learned) of each window of one conversation of plain turns."""
+    shown = [f"<|im_start|>{r}\n{x}<|im_end|>\n" for r, x in turns]
+    before = [0]
+    for _, x in turns:
+        before.append(before[-1] + len(x) // 4 + 4)
+    out = []
+    for w in sorted({b // span for b in before[:-1]}):
+        own = [p for p in range(len(turns)) if before[p] // span == w]
+        past = [p for p in range(max(0, own[0] - history), own[0]) if before[own[0]] - before[p] <= history_tokens]
+        lead = [0] if turns[0][0] == "system" and 0 not in past + own else []
+        out.append(("".join(shown[p] for p in lead + past + own), len(lead + past), [turns[p][1] for p in own if turns[p][0] == "assistant"]))
+    return out
+
+
+@pytest.mark.parametrize("number", [lambda t: t, lambda t: 10 * t, lambda t: 100 * t, lambda t: 1_700_000_000_000 + 977 * t * t, lambda t: t if t < 70 else t + 1000, lambda t: t - 80])
+def test_chat_windows_do_not_depend_on_turn_numbers(spark, number):
+    rng = random.Random(8)
+    turns = [("system", "be kind")] + [(("assistant", "user")[t % 2], f"turn {t} " + "x" * rng.choice([3, 60, 300, 900])) for t in range(1, 200)]
+    df = spark.createDataFrame([(c, number(t), *x) for c in (1, None) for t, x in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    for span, history, limit in ((1024, 2, 256), (100, 3, 150)):
+        got = defaultdict(list)
+        for r in chat.windows(df, span, history, limit).orderBy("section", "window").collect():
+            got[r.conv_id].append((r.formatted, r.repeated, [r.formatted[s.start : s.start + s.length] for s in r.loss]))
+        want = windows_by_hand(turns, span, history, limit)
+        assert len(want) > 5 and got == {1: want, None: want}
+
+
 def test_machine_equals_pairwise_sum():
     rng = np.random.default_rng(0)
     m = quality.Machine(0.5, w0=0.3, w=rng.normal(size=50).astype(np.float32), v=rng.normal(size=(50, 3)).astype(np.float32))
