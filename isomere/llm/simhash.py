@@ -204,16 +204,33 @@ def links(distinct: DataFrame, shard: int = SHARD, sample: int = SAMPLE) -> Data
     return distinct.select("fp").mapInArrow(deal, "shard int, fp bigint, own boolean").groupBy("shard").applyInArrow(solve, "a bigint, b bigint")
 
 
+def roots(distinct: DataFrame) -> DataFrame:
+    """``distinct`` with the column root added: fingerprints are of one component exactly if their roots are equal."""
+    comp = components(links(distinct))
+    return distinct.join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp, component_id) of every row."""
     fps = durable(fingerprints(docs, id_col, text_col), "simhash")
     distinct = durable(fps.groupBy("fp").agg(F.min(id_col).alias("first")), "simhash-distinct")
-    comp = components(links(distinct))
-    root = distinct.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    root = roots(distinct).select("fp", "first", "root")
     least = root.groupBy("root").agg(F.min("first").alias("component_id"))
     named = durable(root.join(least, "root").select("fp", "component_id"), "simhash-map")
     return fps.join(named, "fp").select(id_col, "fp", "component_id")
 
 
+def firsts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs`` for each component: that of the smallest id (null last), then of the smallest hash of its columns."""
+    # numbered and written, so that equal rows and rows of one id can be told apart
+    rows = durable(docs.withColumn("_row", F.monotonically_increasing_id()), "simhash-rows")
+    hashed = F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns if "map<" not in docs.schema[c].dataType.simpleString()))
+    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), hashed.alias("hash"), F.col("_row").alias("row"))
+    fps = durable(fingerprints(rows.select(key.alias("_key"), text_col), "_key", text_col), "simhash")
+    root = roots(durable(fps.select("fp").distinct(), "simhash-distinct"))
+    kept = fps.join(root, "fp").groupBy("root").agg(F.min("_key").alias("_key")).select(F.col("_key.row").alias("_row"))
+    return rows.join(kept, "_row", "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def hexed(fp: str = "fp"):
     return F.lpad(F.lower(F.hex(fp)), 16, "0")

@@ -18,11 +18,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest id of each group of near-duplicates; rows without an id stay."""
+    """Keeps one row of each group of near-duplicates: that of the smallest id, null ids last; equal rows and rows of one id are rows like others."""
     from . import simhash as op
 
-    first = op.dedup(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    return op.firsts(docs)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -295,6 +295,21 @@ def test_fingerprint_edges(spark):
     assert syncmers.compared(df.limit(0)).count() == 0 and syncmers.compared(df.limit(1)).count() == 1
 
 
+def test_near_duplicates_of_repeated_rows_and_null_ids(spark):
+    from isomere.llm import stages
+
+    rng = random.Random(9)
+    a, b, c = (" ".join(rng.choice("abcdefghijklmnop") * rng.randint(1, 5) for _ in range(200)) for _ in range(3))
+    rows = [(1, a, "en"), (1, a, "en"), (None, a, "en"), (None, b, "de"), (None, b, "de"), (2, c, "fr"), (2, a.upper(), "en"), (4, c, "fr"), (3, None, "en"), (None, "", "en"), (None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for some in (df, df.repartition(5)):
+        assert Counter(map(tuple, stages.simhash(spark, some, SMALL).collect())) == Counter([(1, a, "en"), (None, b, "de"), (2, c, "fr"), (3, None, "en")])
+    # none of the repeated documents is lost to the later stages
+    left = stages.repeats(spark, stages.simhash(spark, df, SMALL), SMALL).collect()
+    assert {r.text for r in left} == {a, b, c, None}
+    assert stages.simhash(spark, df.limit(0), SMALL).count() == 0
+
+
 def test_pipeline(spark):
     import corpus_pipeline
     from isomere.llm import stages
