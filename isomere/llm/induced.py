@@ -187,23 +187,41 @@ def suffix_array(t: np.ndarray, letters: int) -> np.ndarray:
     return _induce(t, small, order, letters)
 
 
-def common_prefixes(t: np.ndarray, sa: np.ndarray, most: int = 255) -> tuple[np.ndarray, np.ndarray]:
-    """For each position the suffix before it in the array (-1 for the first) and the length of their common prefix, up to ``most``."""
+def common_prefixes(t: np.ndarray, sa: np.ndarray, most: int = 200, stride: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """For each position the suffix before it in the array (-1 for the first) and the length of their common prefix, up to ``most``.
+
+    In text order a prefix is at most one letter shorter than the one before.
+    Every ``stride``-th position is walked from its start, ``stride`` letters
+    beyond ``most``; the others begin where the last walked one says that they
+    agree, so positions within long repeats are not read again. Letters
+    themselves are compared, four at a time.
+    """
     n = len(t)
     phi = np.full(n, -1, np.int64)
     phi[sa[1:]] = sa[:-1]
-    top = 1 << (most.bit_length() - 1)
-    hashes = levels(t, top)
-    i = np.flatnonzero(phi >= 0)
-    j, done = phi[i], np.zeros(len(i), np.int64)
-    k = top
-    while k:
-        if k in hashes:
-            h = hashes[k]
-            a, b = i + done, j + done
-            fits = (a < len(h)) & (b < len(h))
-            done += k * (fits & (h[np.minimum(a, len(h) - 1)] == h[np.minimum(b, len(h) - 1)]))
-        k //= 2
+    width = 4
+    # the last letter stands nowhere else, so what lies behind it is never compared as equal
+    padded = np.concatenate([t.astype(np.uint16), np.zeros(most + stride + width, np.uint16)])
+    words = np.ndarray((len(padded) - width + 1,), np.uint64, padded.data, 0, (2,)).copy()
+
+    def walk(i: np.ndarray, done: np.ndarray, limit: int) -> np.ndarray:
+        j = phi[i]
+        live = np.flatnonzero((j >= 0) & (done < limit))
+        while len(live):
+            same = words[i[live] + done[live]] == words[j[live] + done[live]]
+            done[live[same]] += width
+            live = live[same]
+            live = live[done[live] < limit]
+        rest = np.flatnonzero((j >= 0) & (done < limit))
+        for _ in range(width - 1):
+            rest = rest[padded[i[rest] + done[rest]] == padded[j[rest] + done[rest]]]
+            done[rest] += 1
+        return np.minimum(done, limit)
+
+    at = np.arange(0, n, stride)
     out = np.zeros(n, np.int64)
-    out[i] = done
-    return phi, out
+    out[at] = walk(at, np.zeros(len(at), np.int64), most + stride)
+    other = np.flatnonzero(np.arange(n) % stride)
+    known = np.minimum(most, np.maximum(0, out[other // stride * stride] - other % stride))
+    out[other] = walk(other, known, most)
+    return phi, np.minimum(out, most)
