@@ -11,9 +11,12 @@ which takes time linear in the entries of the row. It is fitted on at most
 not texts, reach the driver; scoring reads every whole text.
 
 Null texts count as empty and get a score like any other; rows with a null or
-other label than 0 and 1, or a null id, are not learned from; with no labels,
-or one class only, every score is the share of ones (0.5 without labels).
-Repeated rows are scored alike.
+other label than 0 and 1, or a null id, are not learned from, nor are ids whose
+labels disagree; with no labels, or one class only, every score is the share of
+ones (0.5 without labels). Labels that repeat an id count once; of texts that
+share an id the smallest is learned from. Repeated rows are scored alike; very
+long texts cost memory as their words do; an empty table gives an empty table;
+other columns pass through, whatever their names.
 """
 from __future__ import annotations
 
@@ -27,8 +30,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..runtime import ship
+from .batches import by_bytes
 
 BUCKETS, BINS, RANK = 1 << 15, 8, 4
 _UPPER = bytes(range(65, 91))
@@ -138,44 +143,56 @@ def remainder(id_col: str, by: int):
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, by: int, held: int, max_rows: int) -> DataFrame:
-    """(doc_id, text, y) of at most ``max_rows`` labelled rows outside the held-out fold."""
+    """(doc_id, text, y) of at most ``max_rows`` labelled ids outside the held-out fold, a row each.
+
+    Labels that repeat an id count once, an id whose labels disagree not at all;
+    of texts that share an id the smallest is taken.
+    """
     some = (
         labels.select("doc_id", F.col(label).cast("int").alias("y"))
         .filter(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & (remainder("doc_id", by) != held))
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "y")
+        .groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("_most")).filter("y = _most").drop("_most")
+        .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(max_rows)
-    )
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(some), "doc_id")
+    )
+    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(some), "doc_id")
+    return rows.groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("doc_id", "text", "y")
 
 
 def train(docs: DataFrame, labels: DataFrame, by: int = 5, held: int = 0, max_rows: int = 5000) -> Machine:
     ship(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [statistics((t or "").encode()) for t in batch.column(1).to_pylist()]
-            words = [entries(c) for _, c in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([s for s, _ in found], pa.list_(pa.float64())), pa.array([a.tobytes() for a, _ in words], pa.binary()), pa.array([b.tobytes() for _, b in words], pa.binary())], ["doc_id", "y", "stats", "at", "val"])
+            for part in by_bytes(batch, 1):
+                found = [statistics((t or "").encode()) for t in part.column(1).to_pylist()]
+                words = [entries(c) for _, c in found]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([s for s, _ in found], pa.list_(pa.float64())), pa.array([a.tobytes() for a, _ in words], pa.binary()), pa.array([b.tobytes() for _, b in words], pa.binary())], ["doc_id", "y", "stats", "at", "val"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     got = sample(docs, labels, "quality", by, held, max_rows).mapInArrow(run, f"doc_id {kind}, y int, stats array<double>, at binary, val binary").toArrow().to_pylist()
-    got.sort(key=lambda r: (str(r["doc_id"]), r["y"], r["at"], r["val"], r["stats"]))
+    got.sort(key=lambda r: str(r["doc_id"]))
     return fit(np.array([r["stats"] for r in got], np.float64).reshape(len(got), len(STATS)), [(np.frombuffer(r["at"], np.int32), np.frombuffer(r["val"], np.float32)) for r in got], np.array([r["y"] for r in got], np.float64))
 
 
 def scored(docs: DataFrame, machine: Machine, out: str = "score", text_col: str = "text") -> DataFrame:
-    """``docs`` with all its columns and the score as one more, called ``out``."""
-    ship(docs.sparkSession)
+    """``docs`` with all its columns, whatever their names, and the score as one more, called ``out`` (a column of that name is replaced)."""
     spark = docs.sparkSession
+    ship(spark)
     held = spark.sparkContext.broadcast(machine)
-    names, at = [*docs.columns, out], docs.columns.index(text_col)
+    names = [c for c in docs.columns if c != out]
+    at = names.index(text_col)
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(m.score(part.column(at).to_pylist()), pa.float64())], names)
-
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(out, DoubleType())]))
+            texts = batch.column(0).field(at).cast(pa.string())
+            done = 0
+            for part in by_bytes(pa.RecordBatch.from_arrays([texts], ["text"]), 0, 256):
+                scores = m.score(part.column(0).to_pylist())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, part.num_rows), pa.array(scores, pa.float64())], ["row", "score"])
+                done += part.num_rows
+
+    scores = packed.mapInArrow(run, StructType([StructField("row", packed.schema["row"].dataType), StructField("score", DoubleType())]))
+    return scores.select(*(F.col(f"row.`{c}`") for c in names), F.col("score").alias(out))

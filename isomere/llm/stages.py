@@ -9,12 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` does not have."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the classifier, trained on the labelled rows among these, scores under 0.3."""
     from . import quality as op
 
     machine = op.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return op.scored(docs, machine, out="_score").filter("_score >= 0.3").select(*docs.columns)
+    score = fresh(docs, "score")
+    return op.scored(docs, machine, out=score).filter(F.col(score) >= 0.3).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
