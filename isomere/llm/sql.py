@@ -14,7 +14,7 @@ q1 AS (SELECT sid, row_number() OVER (ORDER BY target / (2 * k - 1) DESC, sid, k
 quota AS (SELECT sid, count(*) AS quota FROM q1 WHERE rank <= blocks GROUP BY sid),
 p AS (SELECT d.*, t.sid, t.source_size, t.target, (('0x' || substr(place, 1, 8))::BIGINT % 16384) % t.shards AS shard FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 h AS (SELECT sid, shard, any_value(source) AS name, sum(size)::BIGINT AS words FROM p GROUP BY sid, shard),
-q2 AS (SELECT h.sid, shard, row_number() OVER (PARTITION BY h.sid ORDER BY words / (2 * k - 1)::DOUBLE DESC, shard, k) AS rank, quota FROM h JOIN quota USING (sid), range(1, 6000) r(k) WHERE words > 0 AND k <= words / 8 + 40),
+q2 AS (SELECT h.sid, shard, row_number() OVER (PARTITION BY h.sid ORDER BY words / (2 * k - 1)::DOUBLE DESC, shard, k) AS rank, quota FROM h JOIN quota USING (sid), range(1, (SELECT max(words) // 8 + 42 FROM h)) r(k) WHERE words > 0 AND k <= words / 8 + 40),
 shard_quota AS (SELECT sid, shard, count(*) AS q FROM q2 WHERE rank <= quota GROUP BY ALL),
 b AS (SELECT h.sid, h.shard, (words + 15) // 16 AS nb, least(coalesce(q, 0), 2 * ((words + 15) // 16)) AS q, ('0x' || substr(md5('mix-1/' || coalesce(name, '') || '/' || shard), 1, 8))::BIGINT AS seed FROM h LEFT JOIN shard_quota USING (sid, shard)),
 c AS (SELECT sid, shard, greatest(nb, 1) AS nb, CASE WHEN nb > 0 THEN q // nb ELSE 0 END AS base, CASE WHEN nb > 0 THEN q % nb ELSE 0 END AS r, seed % greatest(nb, 1) AS o FROM b),
@@ -35,18 +35,19 @@ n AS (SELECT a AS vec_id, count(*) AS n FROM pairs GROUP BY a)
 SELECT e.vec_id, coalesce(n.n, 0) AS n_links, c.component_id, e.vec_id = c.component_id AS kept FROM e JOIN c USING (vec_id) LEFT JOIN n USING (vec_id)
 """
 
-#: Windows by prefix sums for conversations of turn numbers under 64 (one section), as all of the tables are.
+#: Windows by prefix sums over whole conversations, without the sections of the query.
 CHAT = """
 WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
     UNION ALL SELECT -1, i, CASE WHEN i = 0 THEN 'user' ELSE 'assistant' END, '<|im_end|><|im_start|>assistant ok' FROM range(2) t(i)),
 t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, text) AS pos,
         '<|im_start|>' || replace(replace(role, '<|', '<||'), chr(10), '<|n|>') || chr(10) || replace(text, '<|', '<||') || '<|im_end|>' || chr(10) AS shown, length(replace(text, '<|', '<||')) // 4 + 4 AS tokens FROM r),
-b AS (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM t),
-w AS (SELECT *, before // 1024 AS w FROM b),
+b AS (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before,
+        sum(CASE WHEN tokens > 256 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY pos)::BIGINT AS longs FROM t),
+w AS (SELECT *, CASE WHEN tokens > 256 THEN longs || ' long' ELSE longs || ' ' || (before // 256) END AS w FROM b),
 n AS (SELECT *, lead(w, 1) OVER o AS w1, lead(w, 2) OVER o AS w2, lead(before, 1) OVER o AS b1, lead(before, 2) OVER o AS b2 FROM w WINDOW o AS (PARTITION BY conv_id ORDER BY pos)),
 m AS (SELECT conv_id, w, shown FROM n UNION ALL SELECT conv_id, w1, shown FROM n WHERE w1 <> w AND b1 - before <= 256 UNION ALL SELECT conv_id, w2, shown FROM n WHERE w2 <> w1 AND b2 - before <= 256),
 s AS (SELECT conv_id, shown AS first_shown FROM t WHERE pos = 1 AND role = 'system'),
-f AS (SELECT m.conv_id, m.w, sum(length(shown)) + coalesce(max(CASE WHEN first_shown IS NOT NULL THEN length(first_shown) END) FILTER (first_shown IS NOT NULL), 0) * CASE WHEN bool_or(coalesce(shown = first_shown, TRUE)) THEN 0 ELSE 1 END AS size
+f AS (SELECT m.conv_id, m.w, sum(length(shown)) + coalesce(max(length(first_shown)), 0) * CASE WHEN bool_or(coalesce(shown = first_shown, TRUE)) THEN 0 ELSE 1 END AS size
     FROM m LEFT JOIN s ON m.conv_id IS NOT DISTINCT FROM s.conv_id GROUP BY m.conv_id, m.w),
 z AS (SELECT conv_id, sum(size)::BIGINT AS formatted_chars FROM f GROUP BY conv_id),
 d AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256, coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '') AS lost FROM t GROUP BY conv_id)
