@@ -1,7 +1,10 @@
 """Document fingerprints from closed syncmers, by DataFrame operations alone.
 
-A text is cut into tokens, runs of at most ``TOKEN`` characters without white
-space, and each ``S`` tokens in a row are hashed. A run of ``K`` tokens is
+A text is cut into tokens: words of at most ``TOKEN`` characters between white
+space, and within longer runs by their content alone: characters beyond ASCII
+stand alone, others end at each character of ``CUT`` (only a longer run without
+any is cut by length). So a character put into a text changes the tokens near
+it, unspaced texts included. Each ``S`` tokens in a row are hashed. A run of ``K`` tokens is
 chosen if the smallest of its inner hashes stands first or last in it: a rule
 that looks at nothing outside the run, so an edit disturbs only runs that touch
 it, and two texts choose the same runs in what they share. The fingerprint is
@@ -11,7 +14,10 @@ hashes of two fingerprints (Jaccard), with the places left for matching by
 position.
 
 Null texts count as empty; empty texts have an empty fingerprint, and two empty
-fingerprints are alike (1.0). Rows with equal ids follow each other by text.
+fingerprints are alike (1.0). Rows with equal ids follow each other by text;
+null ids come last; ids that are no numbers are ordered as strings. Very long
+texts take memory as their tokens do; an empty table gives an empty table;
+other columns are dropped.
 """
 from __future__ import annotations
 
@@ -19,12 +25,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TOKEN, K, S = 16, 8, 2
+CUT = "aeiouAEIOU0-4/._=&?%-"
+_ASCII, _INK = r"\x00-\x08\x0E-\x1F!-\x7F", r"[^\x20\x09-\x0D]"
+PATTERN = "|".join([
+    rf"(?<!{_INK}){_INK}{{1,{TOKEN}}}+(?!{_INK})",
+    r"[^\x00-\x7F]",
+    rf"[{_ASCII}&&[^{CUT}]]{{0,{TOKEN - 1}}}+[{CUT}]",
+    rf"[{_ASCII}&&[^{CUT}]]{{1,{TOKEN}}}+",
+])
 #: Buckets of neighbouring ids for each so many rows, at most so many.
 ROWS, BUCKETS = 1000, 4096
 
 
 def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]{1,%d}" % TOKEN), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
 
 
 def fingerprint_columns(df: DataFrame, text_col: str, out: str) -> DataFrame:
@@ -58,6 +72,14 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(every == 0, F.lit(1.0)).otherwise(both / every)
 
 
+def _number(docs: DataFrame, id_col: str) -> Column:
+    """A long in the order of the ids; strings have that of their first seven bytes."""
+    if docs.schema[id_col].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint"):
+        return F.col(id_col).cast("long")
+    start = F.substring(F.hex(F.col(id_col).cast("string").cast("binary")), 1, 14)
+    return F.conv(F.rpad(start, 14, "0"), 16, 10).cast("long")
+
+
 def with_next(docs: DataFrame, id_col: str, order_col: str, wanted: dict[str, str]) -> DataFrame:
     """Adds columns of the row that follows by descending id, after the last those of the first.
 
@@ -67,7 +89,7 @@ def with_next(docs: DataFrame, id_col: str, order_col: str, wanted: dict[str, st
     so each bucket can look one row ahead by itself. Only the bucket bounds, at
     most ``BUCKETS`` ids, reach the driver.
     """
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))
+    key = F.coalesce(_number(docs, id_col), F.lit(-(2**63)))
     ids = docs.select(key.alias("k"))
     parts = max(1, min(BUCKETS, ids.count() // ROWS))
     cuts = sorted({*(ids.agg(F.percentile_approx("k", [k / parts for k in range(1, parts)], 100_000).alias("p")).first().p or [])}) if parts > 1 else []
@@ -78,7 +100,7 @@ def with_next(docs: DataFrame, id_col: str, order_col: str, wanted: dict[str, st
     ghost = F.try_element_at(F.map_from_arrays(F.array(*map(F.lit, above)), F.array(*map(F.lit, above.values()))), F.col("_k")) if above else F.lit(None).cast("int")
     place = lambda b, g: F.struct(b.cast("int").alias("b"), F.lit(g).alias("ghost"))
     rows = docs.withColumn("_k", key).withColumn("_p", F.explode(F.array_compact(F.array(place(bucket(F.col("_k")), 0), F.when(ghost.isNotNull(), place(ghost, 1))))))
-    ahead = Window.partitionBy("_p.b").orderBy("_p.ghost", F.col("_k").desc(), order_col)
+    ahead = Window.partitionBy("_p.b").orderBy("_p.ghost", F.col("_k").desc(), F.col(id_col).desc(), order_col)
     return rows.withColumns({new: F.lead(c).over(ahead) for c, new in wanted.items()}).filter("_p.ghost = 0").drop("_k", "_p")
 
 
