@@ -11,16 +11,23 @@ sample, cuts the distinct fingerprints into shards by their distance to vantage
 points. A point on the shell at the cut is also sent across it, as a query,
 since by the triangle inequality no other pair can be parted; so every close
 pair meets in a shard. Where many points share a half, the tree goes on with
-the distance over all 64 bits and shells of three. Within a shard trees are
-grown on the points themselves and the leaves compared exactly; a shard gives a
-spanning forest of its links, never all pairs. Components of the forest are
-found by contraction of the edge table.
+the distance over all 64 bits and shells of three. A shard that is still large
+gets a tree of its own, grown on a sample of its points, and so on, so the
+number of shards follows the data and neither the driver nor a task holds more
+than a sample or a shard. Within a shard trees are grown on the points
+themselves and the leaves compared exactly; a ball too dense to be cut is first
+joined along links of one bit, then only what lies outside its largest part is
+compared. A shard gives a spanning forest of its links, never all pairs.
+Components of the forest are found by contraction of the edge table.
 
 Rows with equal ids are separate rows of one id; ids may be null (a component's
-id is its smallest id that is not null).
+id is its smallest id that is not null). Whole texts are read, whatever their
+length, one at a time; an empty table gives an empty table; other columns are
+dropped by ``dedup`` and kept by ``firsts``, whatever their names.
 """
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import accumulate
@@ -32,11 +39,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from ..runtime import durable, ship
+from ..runtime import durable, ship, small
+from .batches import by_bytes
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
 #: Points per shard aimed at, points of the sample, largest leaf compared by brute force.
 SHARD, SAMPLE, LEAF = 3000, 16_384, 1024
+#: A shard of more points is cut again, by a tree grown on about so many of them.
+LARGE, AGAIN = 100_000, 8192
 HALVES = (0xFFFFFFFF, 0xFFFFFFFF00000000)
 _hash = xxhash.xxh64_intdigest
 
@@ -64,8 +74,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part in by_bytes(batch, 1, 512):
                 fps = np.array([fingerprint(t) for t in part.column(1).to_pylist()], np.uint64)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps.view(np.int64))], [id_col, "fp"])
 
@@ -148,11 +157,34 @@ def _flat(root: np.ndarray) -> np.ndarray:
     return root
 
 
+def _hook(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The flat forest with the edges (i, j) added."""
+    while len(i):
+        root = _flat(root)
+        apart = root[i] != root[j]
+        i, j = i[apart], j[apart]
+        # a larger root hooks to one of the smaller roots near it
+        root[np.maximum(root[i], root[j])] = np.minimum(root[i], root[j])
+    return _flat(root)
+
+
+def _by_one_bit(x: np.ndarray, rows: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """Adds the links of one bit among ``rows``."""
+    order = rows[np.argsort(x[rows])]
+    y = x[order]
+    for bit in range(64):
+        z = y ^ (np.uint64(1) << np.uint64(bit))
+        at = np.minimum(np.searchsorted(y, z), len(y) - 1)
+        hit = np.flatnonzero(y[at] == z)
+        root = _hook(root, order[hit], order[at[hit]])
+    return root
+
+
 def forest(x: np.ndarray, own: np.ndarray, half: int) -> tuple[np.ndarray, np.ndarray]:
     """Edges (indices) of a spanning forest of the links between own points, and between queries and own points."""
     root = np.arange(len(x))
     if len(x) > LEAF:
-        row, leaf, mine = route(t := grow(x, half, LEAF // 2), x, own)
+        row, leaf, mine = route(grow(x, half, LEAF // 2), x, own)
         order = np.argsort(leaf, kind="stable")
         parts = np.split(order, np.flatnonzero(np.diff(leaf[order])) + 1)
     else:
@@ -160,27 +192,60 @@ def forest(x: np.ndarray, own: np.ndarray, half: int) -> tuple[np.ndarray, np.nd
     for part in parts:
         rows, is_own = row[part], mine[part]
         target = rows[is_own]
-        for k in range(0, len(rows), 256):
-            some = rows[k : k + 256]
-            for t0 in range(0, len(target), 8192):
-                near = np.bitwise_count(x[some][:, None] ^ x[target[t0 : t0 + 8192]][None, :]) <= RADIUS
-                i, j = np.nonzero(near)
-                i, j = some[i], target[t0 + j]
-                keep = i != j
-                i, j = i[keep], j[keep]
-                while len(i):
-                    root = _flat(root)
-                    apart = root[i] != root[j]
-                    i, j = i[apart], j[apart]
-                    # a larger root hooks to one of the smaller roots near it
-                    a, b = np.maximum(root[i], root[j]), np.minimum(root[i], root[j])
-                    root[a] = b
-    root = _flat(root)
+        work = [(rows, target)]
+        if len(rows) > 2 * LEAF:
+            root = _by_one_bit(x, np.unique(rows), root)
+            mark, size = np.unique(root[rows], return_counts=True)
+            inside = root[rows] == mark[size.argmax()]
+            # pairs within the largest part are linked already
+            work = [(rows[~inside], target), (rows[inside], rows[is_own & ~inside])]
+        for rows, target in work:
+            for k in range(0, len(rows), 256):
+                some = rows[k : k + 256]
+                for t0 in range(0, len(target), 8192):
+                    i, j = np.nonzero(np.bitwise_count(x[some][:, None] ^ x[target[t0 : t0 + 8192]][None, :]) <= RADIUS)
+                    i, j = some[i], target[t0 + j]
+                    root = _hook(root, i[i != j], j[i != j])
     at = np.flatnonzero(root != np.arange(len(x)))
     return at, root[at]
 
 
-def links(distinct: DataFrame, shard: int = SHARD, sample: int = SAMPLE) -> DataFrame:
+ROWS = "shard string, fp bigint, own boolean"
+
+
+def _deeper(dealt: DataFrame, level: int, large: int, again: int) -> tuple[DataFrame, DataFrame] | None:
+    """(rows of shards that stay, rows of the others dealt anew) of the shards of more than ``large`` own points; None if there are none."""
+    sizes = durable(dealt.filter("own").groupBy("shard").agg(F.count("*").alias("n")).filter(F.col("n") > large), "simhash-large")
+    if sizes.isEmpty():
+        return None
+    sizes = small(sizes)
+    chosen = dealt.filter("own").join(sizes, "shard").filter(F.pmod(F.xxhash64("fp", F.lit(level)), F.lit(1 << 30)) < F.lit(float(again << 30)) / F.col("n")).select("shard", "fp", "n")
+
+    def plant(group: pa.Table) -> pa.Table:
+        x = np.sort(group["fp"].to_numpy()).view(np.uint64)
+        name, n = group["shard"][0].as_py(), group["n"][0].as_py()
+        tree = grow(x, int(name[0]), max(8, -(-len(x) * SHARD // n)), level)
+        return pa.table({"shard": [name], "tree": [pickle.dumps(tree)], "cut": [bool(tree.left[0] >= 0)]})
+
+    trees = durable(chosen.groupBy("shard").applyInArrow(plant, "shard string, tree binary, cut boolean"), "simhash-trees")
+    parts = F.greatest(F.lit(1), F.ceil(F.col("n") / large)).cast("int")
+    split = durable(trees.join(sizes, "shard").filter("cut").select("shard", parts.alias("parts"), "tree"), "simhash-cuts")
+    names = small(durable(split.select("shard", "parts"), "simhash-names"))
+    rows = dealt.join(names, "shard").select("shard", F.pmod(F.xxhash64("fp", F.lit(-level)), F.col("parts")).cast("int").alias("part"), "fp", "own", F.lit(None).cast("binary").alias("tree"))
+    roots_ = split.select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("fp"), F.lit(None).cast("boolean").alias("own"), "tree")
+
+    def deal(group: pa.Table) -> pa.Table:
+        tree = pickle.loads(group["tree"].drop_null()[0].as_py())
+        group = group.filter(group["fp"].is_valid()).combine_chunks()
+        name, x = (group["shard"][0].as_py() if len(group) else ""), group["fp"].to_numpy().view(np.uint64)
+        row, leaf, own = route(tree, x, group["own"].to_numpy(zero_copy_only=False).astype(bool))
+        return pa.table({"shard": pa.array([f"{name}.{k}" for k in leaf.tolist()], pa.string()), "fp": pa.array(x[row].view(np.int64), pa.int64()), "own": pa.array(own, pa.bool_())})
+
+    anew = durable(rows.unionByName(roots_).groupBy("shard", "part").applyInArrow(deal, ROWS), "simhash-dealt")
+    return dealt.join(names.select("shard"), "shard", "left_anti"), anew
+
+
+def links(distinct: DataFrame, shard: int = SHARD, sample: int = SAMPLE, large: int = LARGE, again: int = AGAIN) -> DataFrame:
     """(a, b): links between the distinct fingerprints of column ``fp``, enough to connect what is connected."""
     spark = distinct.sparkSession
     ship(spark)
@@ -193,15 +258,26 @@ def links(distinct: DataFrame, shard: int = SHARD, sample: int = SAMPLE) -> Data
             x = batch.column(0).to_numpy().view(np.uint64)
             for h, tree in enumerate(trees):
                 row, leaf, own = route(tree, x, np.ones(len(x), bool))
-                yield pa.RecordBatch.from_arrays([pa.array(leaf.astype(np.int32) * 2 + h), pa.array(x[row].view(np.int64)), pa.array(own)], ["shard", "fp", "own"])
+                yield pa.RecordBatch.from_arrays([pa.array([f"{h}.{k}" for k in leaf.tolist()], pa.string()), pa.array(x[row].view(np.int64)), pa.array(own)], ["shard", "fp", "own"])
 
     def solve(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
-        x, own = group["fp"].to_numpy().view(np.uint64), group["own"].to_numpy()
-        i, j = forest(x, own, int(group["shard"][0].as_py()) & 1)
+        x, own = group["fp"].to_numpy().view(np.uint64), group["own"].to_numpy(zero_copy_only=False).astype(bool)
+        i, j = forest(x, own, int(group["shard"][0].as_py()[0]))
         return pa.table({"a": x[i].view(np.int64), "b": x[j].view(np.int64)})
 
-    return distinct.select("fp").mapInArrow(deal, "shard int, fp bigint, own boolean").groupBy("shard").applyInArrow(solve, "a bigint, b bigint")
+    dealt = durable(distinct.select("fp").mapInArrow(deal, ROWS), "simhash-dealt")
+    done: list[DataFrame] = []
+    for level in range(1, 9):
+        # what a tree cannot cut further stays a shard, whatever its size
+        got = _deeper(dealt, level, large, again)
+        if got is None:
+            break
+        done.append(got[0])
+        dealt = got[1]
+    for x in done:
+        dealt = dealt.unionByName(x)
+    return dealt.groupBy("shard").applyInArrow(solve, "a bigint, b bigint")
 
 
 def roots(distinct: DataFrame) -> DataFrame:
@@ -222,14 +298,16 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 def firsts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of ``docs`` for each component: that of the smallest id (null last), then of the smallest hash of its columns."""
-    # numbered and written, so that equal rows and rows of one id can be told apart
-    rows = durable(docs.withColumn("_row", F.monotonically_increasing_id()), "simhash-rows")
-    hashed = F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns if "map<" not in docs.schema[c].dataType.simpleString()))
-    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), hashed.alias("hash"), F.col("_row").alias("row"))
-    fps = durable(fingerprints(rows.select(key.alias("_key"), text_col), "_key", text_col), "simhash")
+    # numbered and written, so that equal rows and rows of one id can be told apart; packed, so that no name can clash
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    rows = durable(docs.select(F.monotonically_increasing_id().alias("number"), F.struct(*names).alias("row")), "simhash-rows")
+    hashed = F.xxhash64(*(F.col(f"row.`{c}`") for c in docs.columns if "map<" not in docs.schema[c].dataType.simpleString()))
+    own = F.col(f"row.`{id_col}`")
+    key = F.struct(own.isNull().alias("none"), own.alias("id"), hashed.alias("hash"), F.col("number"))
+    fps = durable(fingerprints(rows.select(key.alias("key"), F.col(f"row.`{text_col}`").alias("text")), "key", "text"), "simhash")
     root = roots(durable(fps.select("fp").distinct(), "simhash-distinct"))
-    kept = fps.join(root, "fp").groupBy("root").agg(F.min("_key").alias("_key")).select(F.col("_key.row").alias("_row"))
-    return rows.join(kept, "_row", "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
+    kept = fps.join(root, "fp").groupBy("root").agg(F.min("key").alias("key")).select("key.number")
+    return rows.join(kept, "number", "left_semi").select(*(F.col(f"row.`{c}`") for c in docs.columns))
 
 
 def hexed(fp: str = "fp"):
