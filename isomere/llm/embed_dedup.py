@@ -2,16 +2,21 @@
 
 Equal vectors of a label are one node with a count. Centroids for each label
 come from a bounded sample (``sample`` vectors in all, in the order of a hash)
-by spherical k-means, near centroids being merged so that no tight group is
-parted; a vector is at home in the shard of its nearest centroid. Each shard
-builds a robust-pruned graph of its own vectors and searches it for each:
+by spherical k-means, near centroids being merged; a vector is at home in the
+shard of its nearest centroid, and a shard of more than ``PART`` vectors is
+dealt over parts by a hash. Each part builds a robust-pruned graph of its own
+vectors by inserting them one batch after the other, and searches it for each:
 greedily from its medoid, then through everything within ``low`` of the query.
-Some of its queries are compared with brute force; if the recall of the shard
-is under ``recall``, it searches again with a wider reach, and in the end
-compares all of its rows. A vector is also a guest in every other shard that
-can hold a vector within ``threshold`` of it (one way for each two shards), and
-there is compared with all rows at home. Pairs are verified in double
-precision: cosine of at least ``threshold`` counts as a link.
+Some of its queries are compared with brute force; if any link of theirs was
+missed, it searches again with a wider reach, and in the end compares all of
+its rows. A vector is also a guest in every other part that can hold a vector
+within ``threshold`` of it (one way for each two parts): the shards overlap by
+the angle of the threshold. There it is compared with all rows at home, so no
+link is lost at a border. Pairs are verified in double precision: cosine of at
+least ``threshold`` counts as a link. A part gives counts and a spanning forest
+of its links, never pairs. At last the links of ``AUDIT`` vectors, chosen by a
+hash among all, are counted by brute force over the whole table; if fewer than
+the share ``recall`` of them were found, all parts compare all of their rows.
 
 A vector that is null, zero, or holds nulls, NaNs or infinities, and a vector
 with a null label, links with nothing. Vectors of different lengths link with
@@ -28,10 +33,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from ..runtime import durable, ship, small
+from ..runtime import durable, release, ship, small
 from . import graph
 
-SAMPLE, SHARD, MERGE, GUESTS = 16_384, 400, 0.85, 16_384
+SAMPLE, SHARD, MERGE, GUESTS, PART, AUDIT = 16_384, 400, 0.85, 16_384, 4096, 256
 
 
 def _unit(a: np.ndarray) -> np.ndarray:
@@ -60,33 +65,37 @@ def centroids(x: np.ndarray, k: int, rounds: int = 6) -> np.ndarray:
     return c
 
 
-def _exact(x: np.ndarray, at: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """All (query, node) index pairs with cosine of ``threshold`` or more, rows ``at`` being compared with all rows."""
-    found = []
-    for b in range(0, len(at), 256):
-        i, j = np.nonzero(x[at[b : b + 256]] @ x.T >= threshold)
-        found.append((at[b + i], j))
-    i, j = (np.concatenate(c) for c in zip(*found, strict=True))
-    return i[i != j], j[i != j]
-
-
-def _link(x: np.ndarray, adj: np.ndarray, own: np.ndarray, threshold: float, recall: float) -> tuple[np.ndarray, np.ndarray]:
-    """(query, node) index pairs with cosine of ``threshold`` or more, queries being the own rows."""
-    at = np.flatnonzero(own)
-    q, m = x[at], graph.medoid(x)
-    checked = at[:: max(1, len(at) // 16)]
-    truth = (x[checked] @ x.T >= threshold) & (np.arange(len(x))[None, :] != checked[:, None])
-    for low in (threshold - 0.05, threshold - 0.2, 0.3):
-        pairs = graph.expand(x, adj, q, [graph.descend(x, adj, q, m), at], low)
-        i, j = at[np.concatenate([p[0] for p in pairs])], np.concatenate([p[1] for p in pairs])
-        cos = np.concatenate([np.einsum("kd,kd->k", x[i[b : b + 65536]], x[j[b : b + 65536]]) for b in range(0, len(i), 65536)]) if len(i) else np.zeros(0)
-        good = (cos >= threshold) & (i != j)
-        i, j = i[good], j[good]
-        wanted = truth.sum()
-        got = np.isin(i, checked).sum()
-        if got >= recall * wanted:
-            return i, j
-    return _exact(x, at, threshold)
+def _exact(x: np.ndarray, hits: np.ndarray, threshold: float) -> None:
+    """Marks all pairs with cosine of ``threshold`` or more."""
+    for b in range(0, len(x), 256):
+        hits[b : b + 256] |= x[b : b + 256] @ x.T >= threshold
+
+
+def near_pairs(x: np.ndarray, threshold: float, exact: bool = False, checks: int = 64) -> np.ndarray:
+    """Which pairs of unit vectors have a cosine of ``threshold`` or more, as a square of booleans."""
+    n = len(x)
+    hits = np.zeros((n, n), bool)
+    if not exact and n > 1:
+        adj, start = graph.build(x), graph.medoid(x)
+        at = np.arange(0, n, max(1, n // checks))
+        truth = x[at] @ x.T >= threshold
+        block = max(1, min(256, 65536 // n))
+        for low in (threshold - 0.05, threshold - 0.2):
+            for b in range(0, n, block):
+                q = x[b : b + block]
+                i, j = graph.expand(x, adj, q, graph.search(x, adj, q, start, 16)[0], low)
+                good = np.concatenate([np.einsum("kd,kd->k", q[i[c : c + 8192]], x[j[c : c + 8192]]) for c in range(0, len(i), 8192)] or [np.zeros(0)]) >= threshold
+                hits[b + i[good], j[good]] = True
+            hits |= hits.T
+            if (hits[at] | ~truth)[~np.eye(n, dtype=bool)[at]].all():
+                break
+        else:
+            exact = True
+    if exact:
+        _exact(x, hits, threshold)
+        hits |= hits.T
+    hits[np.arange(n), np.arange(n)] = False
+    return hits
 
 
 def _hook(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -135,6 +144,32 @@ def nodes_of(df: DataFrame, id_col: str, vec_col: str, label_col: str) -> DataFr
     return df.select(F.col(id_col).alias("id"), F.xxhash64(label_col, vec_col).alias("node"), F.coalesce(fine, F.lit(False)).alias("valid"), F.col(label_col).cast("string").alias("label"), v.cast("array<double>").alias("vec"))
 
 
+def audited(nodes: DataFrame, found: DataFrame, threshold: float, checks: int = AUDIT) -> float:
+    """The share of the links of ``checks`` nodes, chosen by a hash, that ``found`` holds; their links are counted by brute force over all nodes."""
+    some = nodes.orderBy(F.xxhash64("node", F.lit(4)), "node").limit(checks).select("node", "space", "vec").collect()
+    asked = {space: ([r.node for r in some if r.space == space], _unit(np.array([r.vec for r in some if r.space == space]))) for space in {r.space for r in some}}
+    if not asked:
+        return 1.0
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, int] = {}
+        for batch in batches:
+            names, ids, copies = np.array(batch.column(1).to_pylist(), object), batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            for space, (keys, q) in asked.items():
+                rows = np.flatnonzero(names == space)
+                for b in range(0, len(rows), 2048):
+                    at = rows[b : b + 2048]
+                    x = _unit(batch.column(3).take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), -1))
+                    for key, near in zip(keys, q @ x.T >= threshold, strict=True):
+                        total[key] = total.get(key, 0) + int(copies[at[near & (ids[at] != key)]].sum())
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["a", "n"])
+
+    true = nodes.select("node", "space", "copies", "vec").mapInArrow(count, "a bigint, n bigint").groupBy("a").agg(F.sum("n").alias("true"))
+    got = found.join(F.broadcast(true.select("a")), "a").groupBy("a").agg(F.sum("n").alias("got"))
+    r = true.join(got, "a", "left").agg(F.sum("true").alias("true"), F.sum(F.least("true", F.coalesce("got", F.lit(0)))).alias("got")).first()
+    return r.got / r.true if r.true else 1.0
+
+
 def dedup(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = 0.93, recall: float = 0.98, sample: int = SAMPLE, shard: int = SHARD) -> DataFrame:
     """(id, n_links, component_id, kept) of every row."""
     spark = df.sparkSession
@@ -193,13 +228,21 @@ def dedup(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", lab
                 some_ = src.slice(b, 65536)
                 yield pa.RecordBatch.from_arrays([pa.array(to[b : b + 65536], pa.string()), *(batch.column(k).take(some_) for k in (0, 1, 4))], ["shard", "node", "copies", "vec"])
 
-    guests = durable(home.select("node", "copies", "space", "at", "vec").mapInArrow(visit, "shard string, node bigint, copies bigint, vec array<double>"), "embed-guests")
-    # a shard of many guests is searched in several parts, its own rows being in each
+    visitors = home.select("node", "copies", "space", "at", "vec").mapInArrow(visit, "shard string, node bigint, copies bigint, vec array<double>")
+    # large shards are dealt over parts, whose rows visit the later parts of the same shard
+    split = durable(home.groupBy("shard").agg(F.ceil(F.count("*") / PART).cast("int").alias("split")).filter("split > 1"), "embed-split")
+    part = F.pmod(F.xxhash64("node", F.lit(3)), F.coalesce("split", F.lit(1))).cast("int")
+    named = lambda k: F.concat_ws("/", "shard", k.cast("string"))
+    home = durable(home.join(small(split), "shard", "left").withColumn("slice", part), "embed-slices")
+    later = home.filter("split > 1 and slice < split - 1").select("shard", F.explode(F.sequence(F.col("slice") + 1, F.col("split") - 1)).alias("to"), "node", "copies", "vec")
+    visitors = visitors.join(small(split), "shard", "left").select("shard", F.explode(F.sequence(F.lit(0), F.coalesce("split", F.lit(1)) - 1)).alias("to"), "node", "copies", "vec")
+    guests = durable(visitors.unionByName(later).select(named(F.col("to")).alias("shard"), "node", "copies", "vec"), "embed-guests")
+    # a part of many guests is searched by several tasks, its own rows being in each
     parts = durable(guests.groupBy("shard").agg(F.ceil(F.count("*") / GUESTS).cast("int").alias("parts")), "embed-parts")
-    owners = home.join(small(parts), "shard", "left").select("shard", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"), "node", "copies", F.lit(True).alias("own"), "vec")
+    owners = home.withColumn("shard", named(F.col("slice"))).join(small(parts), "shard", "left").select("shard", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"), "node", "copies", F.lit(True).alias("own"), "vec")
     callers = guests.join(small(parts), "shard").select("shard", F.pmod(F.xxhash64("node", F.lit(2)), F.col("parts")).cast("int").alias("part"), "node", "copies", F.lit(False).alias("own"), "vec")
 
-    def search(group: pa.Table) -> pa.Table:
+    def search(group: pa.Table, exact: bool) -> pa.Table:
         group = group.combine_chunks().sort_by([("own", "descending"), ("node", "ascending")])
         ids, own, copies = group["node"].to_numpy(), group["own"].to_numpy(zero_copy_only=False).astype(bool), group["copies"].to_numpy()
         flat = group["vec"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
@@ -207,13 +250,12 @@ def dedup(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", lab
         m = int(own.sum())  # own rows stand first
         n, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
         if group["part"][0].as_py() == 0:
-            i, j = _link(x[:m], graph.build(x[:m]), np.ones(m, bool), threshold, recall)
-            # both ways, once each
-            code = np.unique(np.minimum(i, j) * len(ids) + np.maximum(i, j))
-            i, j = code // len(ids), code % len(ids)
-            np.add.at(n, i, copies[j])
-            np.add.at(n, j, copies[i])
-            root = _hook(root, i, j)
+            hits = near_pairs(x[:m], threshold, exact)
+            for b in range(0, m, 256):
+                i, j = np.nonzero(hits[b : b + 256])
+                np.add.at(n, b + i, copies[j])
+                root = _hook(root, b + i, j)
+            del hits
         for b in range(m, len(ids), 256):
             # guests are compared with every own row
             i, j = np.nonzero(x[b : b + 256] @ x[:m].T >= threshold)
@@ -224,7 +266,11 @@ def dedup(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", lab
         at = np.flatnonzero(n)
         return pa.table({"a": ids[at], "b": ids[root[at]], "n": n[at]})
 
-    found = durable(owners.unionByName(callers).groupBy("shard", "part").applyInArrow(search, "a bigint, b bigint, n bigint"), "embed-links")
+    dealt = owners.unionByName(callers).groupBy("shard", "part")
+    found = durable(dealt.applyInArrow(lambda g: search(g, False), "a bigint, b bigint, n bigint"), "embed-links")
+    if audited(nodes, found, threshold) < recall:
+        release(found)
+        found = durable(dealt.applyInArrow(lambda g: search(g, True), "a bigint, b bigint, n bigint"), "embed-links")
     counts = found.groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
     comp = components(found.filter("a <> b").select("a", "b"))
     root = nodes.select("node", "copies", "first").join(comp, "node", "left").withColumn("root", F.coalesce("root", "node"))
