@@ -16,8 +16,10 @@ start o. The words taken of a document follow from its place in closed form.
 
 Null texts have no words; the null source is a source like others, after all
 others; documents without words are taken with 0 words; equal rows are placed
-next to each other; an empty table gives an empty table. Columns of other names
-pass through.
+next to each other; an empty table gives an empty table. Very long texts are
+counted whole and never split over shards; ``texts`` holds the words of a text
+that is taken in part in one array. ``texts`` keeps all columns, whatever their
+names: they are packed into one while the mix is planned.
 """
 from __future__ import annotations
 
@@ -35,12 +37,15 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def _place(id_col: str) -> Column:
-    return F.md5(F.concat(F.lit(SEED), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
+def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: list[str] | None = None) -> DataFrame:
+    """(id, source, size, place) of each row, and the columns ``keep`` packed in ``row``."""
+    place = F.md5(F.concat(F.lit(SEED), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))).cast("binary"))
+    packed = [] if keep is None else [F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row")]
+    return docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"), n_words(F.col(f"`{text_col}`")).alias("size"), place.alias("place"), *packed)
 
 
 def _fine() -> Column:
-    return F.conv(F.substring("_place", 1, 8), 16, 10).cast("long") % FINE
+    return F.conv(F.substring("place", 1, 8), 16, 10).cast("long") % FINE
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...], share: float, epochs: int) -> DataFrame:
@@ -87,10 +92,9 @@ def apportion(parties: DataFrame, weight: str, seats: str, within: list[str], ke
     return df.join(won, [*within, key], "left").withColumn(out, F.col("_low") + F.coalesce("_more", F.lit(0))).drop("_sum", "_n", "_low", "_high", "_left", "_more")
 
 
-def plan(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, epochs: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """``docs`` with _size, source_size, target, taken and what ``texts`` needs to cut the text."""
-    rows = docs.withColumns({"_size": n_words(F.col(text_col)), "_place": _place(id_col), "_source": F.col(source_col)})
-    fine = durable(rows.groupBy(F.col("_source").alias("source"), _fine().alias("fine")).agg(F.sum("_size").alias("words")), "mix-sizes")
+def plan(rows: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, epochs: int = 2) -> DataFrame:
+    """The rows of ``sized`` with source_size, target, taken and what ``texts`` needs to cut the text."""
+    fine = durable(rows.groupBy("source", _fine().alias("fine")).agg(F.sum("size").alias("words")), "mix-sizes")
     source = durable(targets(fine.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, epochs), "mix-sources")
     given = durable(apportion(source.withColumn("_one", F.lit(1)), "target", "blocks", ["_one"], "sid", "quota"), "mix-quotas")
     shards = (
@@ -100,40 +104,43 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1
     )
     parts = durable(
         apportion(shards, "_words", "quota", ["sid"], "shard", "_q")
-        .withColumn("_nb", F.expr(f"(_words + {BLOCK - 1}) div {BLOCK}"))
-        .withColumn("_q", F.least("_q", 2 * F.col("_nb")) if epochs == 2 else F.least("_q", epochs * F.col("_nb")))
+        .withColumn("nb", F.expr(f"(_words + {BLOCK - 1}) div {BLOCK}"))
+        .withColumn("_q", F.least("_q", epochs * F.col("nb")))
         .select(
             "sid", "shard",
-            F.when(F.col("_nb") > 0, F.expr("_q div _nb")).otherwise(0).alias("_base"), F.when(F.col("_nb") > 0, F.col("_q") % F.col("_nb")).otherwise(0).alias("_r"), F.greatest("_nb", F.lit(1)).alias("_nb"),
-            (F.conv(F.substring(F.md5(F.concat_ws("/", F.lit(SEED), F.coalesce("_name", F.lit("")), F.col("shard").cast("string")).cast("binary")), 1, 8), 16, 10).cast("long") % F.greatest("_nb", F.lit(1))).alias("_o"),
+            F.when(F.col("nb") > 0, F.expr("_q div nb")).otherwise(0).alias("base"), F.when(F.col("nb") > 0, F.col("_q") % F.col("nb")).otherwise(0).alias("r"), F.greatest("nb", F.lit(1)).alias("nb"),
+            (F.conv(F.substring(F.md5(F.concat_ws("/", F.lit(SEED), F.coalesce("_name", F.lit("")), F.col("shard").cast("string")).cast("binary")), 1, 8), 16, 10).cast("long") % F.greatest("nb", F.lit(1))).alias("o"),
         ),
         "mix-shards",
     )
     named = source.select(F.col("source").alias("_name"), "sid", "source_size", "target", "shards")
-    placed = rows.join(small(named), F.col("_source").eqNullSafe(F.col("_name"))).withColumn("shard", _fine() % F.col("shards"))
-    before = Window.partitionBy("sid", "shard").orderBy("_place", id_col, "_size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = placed.withColumn("_at", F.coalesce(F.sum("_size").over(before), F.lit(0)))
+    placed = rows.join(small(named), F.col("source").eqNullSafe(F.col("_name"))).withColumn("shard", _fine() % F.col("shards"))
+    before = Window.partitionBy("sid", "shard").orderBy("place", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    placed = placed.withColumn("at", F.coalesce(F.sum("size").over(before), F.lit(0)))
     out = placed.join(parts, ["sid", "shard"])
-    extra = lambda x: f"({BLOCK} * (((({x}) div {BLOCK}) * _r + _o) div _nb) + (({x}) % {BLOCK}) * (((({x}) div {BLOCK} + 1) * _r + _o) div _nb - ((({x}) div {BLOCK}) * _r + _o) div _nb))"
-    return out.withColumn("_extra", F.expr(f"{extra('_at + _size')} - {extra('_at')}")).withColumn("taken", F.expr("_base * _size + _extra"))
+    extra = lambda x: f"({BLOCK} * (((({x}) div {BLOCK}) * r + o) div nb) + (({x}) % {BLOCK}) * (((({x}) div {BLOCK} + 1) * r + o) div nb - ((({x}) div {BLOCK}) * r + o) div nb))"
+    return out.withColumn("extra", F.expr(f"{extra('at + size')} - {extra('at')}")).withColumn("taken", F.expr("base * size + extra"))
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
-    """One row per document: id, size, source_size, target, taken."""
-    return plan(docs, **options).select(options.get("id_col", "doc_id"), F.col("_size").alias("size"), "source_size", "target", "taken")
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """One row per document: id, size, source_size, target, taken. The texts are read once, for their sizes."""
+    rows = durable(sized(docs, id_col, text_col, source_col), "mix-rows")
+    return plan(rows, **options).select(F.col("id").alias(id_col), "size", "source_size", "target", "taken")
 
 
-def texts(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
+def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", epochs: int = 2, **options) -> DataFrame:
     """The mix itself: for each document and pass a row with the words taken, in the columns of ``docs``.
 
     A pass that takes the whole document keeps its text as it is; one that takes
     some of its blocks keeps their words with the white space after them.
     """
-    full = plan(docs, text_col=text_col, **options)
-    words = F.regexp_extract_all(F.col(text_col), F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
-    full = full.withColumn("_words", F.when((F.col("_extra") > 0) & (F.col("_extra") < F.col("_size")), words))
-    cut = F.array_join(F.expr(f"filter(_words, (w, i) -> (((_at + i) div {BLOCK} + 1) * _r + _o) div _nb > (((_at + i) div {BLOCK}) * _r + _o) div _nb)"), "")
-    some = F.when(F.col("_extra") == F.col("_size"), F.col(text_col)).when(F.col("_extra") > 0, cut)
-    passes = F.array(*(F.when(F.col("_base") >= p, F.col(text_col)).when(F.col("_base") == p - 1, some) for p in range(1, options.get("epochs", 2) + 1)))
-    out = full.filter("taken > 0").withColumn("_pass", F.explode(passes)).filter(F.col("_pass").isNotNull())
-    return out.select(*(F.col("_pass").alias(c) if c == text_col else F.length("_pass").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
+    text = F.col(f"row.`{text_col}`")
+    full = plan(sized(docs, id_col, text_col, source_col, docs.columns), epochs=epochs, **options)
+    words = F.regexp_extract_all(text, F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
+    full = full.withColumn("words", F.when((F.col("extra") > 0) & (F.col("extra") < F.col("size")), words))
+    cut = F.array_join(F.expr(f"filter(words, (w, i) -> (((at + i) div {BLOCK} + 1) * r + o) div nb > (((at + i) div {BLOCK}) * r + o) div nb)"), "")
+    some = F.when(F.col("extra") == F.col("size"), text).when(F.col("extra") > 0, cut)
+    passes = F.array(*(F.when(F.col("base") >= p, text).when(F.col("base") == p - 1, some) for p in range(1, epochs + 1)))
+    out = full.filter("taken > 0").select("row", F.explode(passes).alias("pass")).filter(F.col("pass").isNotNull())
+    new = {text_col: F.col("pass")} | ({"n_chars": F.length("pass").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return out.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
