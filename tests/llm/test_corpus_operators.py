@@ -1,10 +1,16 @@
 """Mixing, near-duplicates, repeats, embeddings, fingerprints and the pipeline."""
 import hashlib
 import random
+import re
+import struct
+import tempfile
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
+from pyspark.sql import functions as F
 
 from isomere.llm import embed_dedup, graph, induced, mixing, repeats, simhash, syncmers
 
@@ -69,12 +75,12 @@ def test_mixing(spark, monkeypatch):
     rng = random.Random(5)
     rows = [(i, " ".join(["w"] * rng.choice([0, 1, 3, 50, 300])), rng.choice(["b", "a", "é", "Z", None, "a"])) for i in range(300)] + [(7, None, "a"), (7, None, "a"), (None, "x y", "lone")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    plan = mixing.plan(df).select("doc_id", "source", "_size", "source_size", "target", "taken").collect()
+    plan = mixing.plan(mixing.sized(df)).select("id", "source", "size", "source_size", "target", "taken").collect()
     sizes, taken = Counter(), Counter()
     for r in plan:
-        sizes[r.source] += r._size
+        sizes[r.source] += r.size
         taken[r.source] += r.taken
-        assert 0 <= r.taken <= 2 * r._size
+        assert 0 <= r.taken <= 2 * r.size
     want = targets_by_hand(sizes)
     for r in plan:
         assert r.target == pytest.approx(want[r.source]) and r.source_size == sizes[r.source]
@@ -110,6 +116,26 @@ def test_simhash_trees_find_all_groups():
     assert groups(len(x), found) == groups(len(x), zip(i.tolist(), j.tolist(), strict=True))
 
 
+def test_simhash_dense_ball_and_deeper_shards(spark):
+    rng = np.random.default_rng(2)
+    centre = np.uint64(0x123456789ABCDEF0)
+    ball = np.full(6000, centre)
+    for _ in range(4):
+        ball ^= np.uint64(1) << rng.integers(0, 64, 6000, dtype=np.uint64)
+    x = np.unique(np.concatenate([ball, rng.integers(0, 2**64, 3000, dtype=np.uint64)]))
+    near = [np.flatnonzero(np.bitwise_count(x ^ v) <= 3) for v in x]
+    want = groups(len(x), [(i, int(j)) for i, js in enumerate(near) for j in js if j > i])
+    found = [simhash.forest(x, np.ones(len(x), bool), half) for half in (0, 1)]
+    assert all(len(i) < len(x) for i, _ in found) and groups(len(x), [e for i, j in found for e in zip(i.tolist(), j.tolist(), strict=True)]) == want
+    df = spark.createDataFrame([(int(v),) for v in x.view(np.int64)], "fp long")
+    # a driver's tree of few points, shards cut again by trees of their own
+    got = simhash.links(df, shard=3000, sample=64, large=1200, again=400).collect()
+    at = {int(v): k for k, v in enumerate(x.view(np.int64))}
+    assert groups(len(x), [(at[r.a], at[r.b]) for r in got]) == want
+    sizes = simhash._deeper(spark.createDataFrame([("0.0", int(v), True) for v in x.view(np.int64)], simhash.ROWS), 1, 1200, 2000)[1].groupBy("shard").count().collect()
+    assert len(sizes) > 1
+
+
 def test_simhash_query(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
     rows += [(1000, None), (1001, ""), (1002, "one"), (1003, "ONE"), (1003, "one"), (1004, "two words"), (1005, "x " * 60_000)]
@@ -180,6 +206,19 @@ def test_repeats_edges(spark):
     assert got[1].text == "tail" and got[1].n_chars == 4 and got[2].key == "y"
 
 
+def test_repeats_in_long_texts_and_names(spark, monkeypatch):
+    rng = random.Random(12)
+    passage = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(500))
+    long = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(300_000))
+    texts = [long[:65_400] + passage + long[65_400:], "x" * 150 + passage, long[200_000:200_350] + "unlike", "é" * 100_000]
+    df = spark.createDataFrame([(k, t, *[f"{c}{k}" for c in "abcdefghijk"]) for k, t in enumerate(texts)], "doc_id long, text string, key string, _key string, _runs string, runs string, row string, k1 string, k2 string, n string, tid string, h string, at string")
+    by_hand = removed_by_hand(texts)
+    assert {r.doc_id: tuple(r)[1:] for r in repeats.removal(df).collect()} == dict(enumerate(by_hand))
+    got = {r.doc_id: r for r in repeats.cleaned(df).collect()}
+    assert all(tuple(got[k])[2:] == tuple(f"{c}{k}" for c in "abcdefghijk") for k in range(4))
+    assert repeats.cleaned(df).columns == df.columns and len(got[1].text) == by_hand[1][0] - by_hand[1][1]
+
+
 def links_by_hand(rows, threshold=0.93):
     fine = [i for i, (_, e, l) in enumerate(rows) if l is not None and e and all(x is not None and np.isfinite(x) for x in e) and any(e)]
     out = [(0, r[0]) for r in rows]
@@ -222,8 +261,58 @@ def test_embeddings_of_tight_groups_near_each_other():
     x /= np.linalg.norm(x, axis=1)[:, None]
     want = x @ x.T >= 0.93
     np.fill_diagonal(want, False)
-    i, j = embed_dedup._link(x, graph.build(x), np.ones(len(x), bool), 0.93, 0.98)
-    assert want[:60, 60:360].any() and set(zip(i.tolist(), j.tolist(), strict=True)) == set(zip(*(c.tolist() for c in np.nonzero(want)), strict=True))
+    assert want[:60, 60:360].any() and (embed_dedup.near_pairs(x, 0.93) == want).all() and (embed_dedup.near_pairs(x, 0.93, exact=True) == want).all()
+
+
+def test_graph_is_grown_by_search_and_found_again():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(60, 16))[rng.integers(0, 60, 1500)] + 0.2 * rng.normal(size=(1500, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    adj = graph.build(x)
+    assert adj.shape[0] == 1500 and graph.DEGREE <= adj.shape[1] < graph.DEGREE + 10 and (adj < 1500).all() and (adj != np.arange(1500)[:, None]).all()
+    assert graph.reached(adj, graph.medoid(x)).all()
+    ids, sims = graph.search(x, adj, x, graph.medoid(x))
+    assert (ids[:, 0] == np.arange(1500)).mean() > 0.99 and (np.diff(sims, axis=1) <= 1e-12).all()
+    want = x @ x.T >= 0.9
+    i, j = graph.expand(x, adj, x, ids[:, :16], 0.85)
+    seen = np.zeros_like(want)
+    seen[i, j] = True
+    assert (seen & want).sum() >= 0.99 * want.sum() and seen.mean() < 0.2
+
+
+def test_many_near_vectors_in_bounded_memory():
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=64) + 0.1 * rng.normal(size=(3000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    tracemalloc.start()
+    hits = embed_dedup.near_pairs(x, 0.93)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert hits.sum() == 3000 * 2999 and peak < 100e6
+
+
+def test_embeddings_of_parts_and_a_failed_audit(spark, monkeypatch):
+    rng = np.random.default_rng(10)
+    x = np.concatenate([rng.normal(size=8) + 0.25 * rng.normal(size=(250, 8)), rng.normal(size=(150, 8))])
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    want = [n for n, _ in links_by_hand(rows)]
+    monkeypatch.setattr(embed_dedup, "PART", 60)
+    assert [r.n_links for r in embed_dedup.dedup(df).orderBy("vec_id").collect()] == want
+    # if the search finds nothing, the audit sees it and everything is compared
+    calls = []
+
+    def blind(x, threshold, exact=False, real=embed_dedup.near_pairs):
+        calls.append(exact)
+        return real(x, threshold, True) if exact else np.zeros((len(x), len(x)), bool)
+
+    nodes = spark.createDataFrame([(i, "8:0", 1, v.tolist()) for i, v in enumerate(x)], "node long, space string, copies long, vec array<double>")
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    i, j = np.nonzero(unit @ unit.T >= 0.93)
+    half = spark.createDataFrame([(int(a), int((i == a).sum()) // 2) for a in range(len(x))], "a long, n long")
+    assert 0.3 < embed_dedup.audited(nodes, half, 0.93) < 0.6
+    full = spark.createDataFrame([(int(a), int((i == a).sum()) - 1) for a in range(len(x))], "a long, n long")
+    assert embed_dedup.audited(nodes, full, 0.93) == 1.0
 
 
 def test_embeddings_across_shards(spark, monkeypatch):
@@ -259,33 +348,79 @@ def test_embedding_edges(spark):
     assert embed_dedup.dedup(df.limit(0)).count() == 0
 
 
-def syncmers_by_hand(tokens, hashes):
+def tokens_by_hand(text):
+    """Words of at most 16 characters; longer runs cut after single characters beyond ASCII and after those of the cut list."""
+    cut = set("aeiouAEIOU01234/._=&?%-")
+    out = []
+    for run in re.findall(r"[^\x20\x09-\x0D]+", text):
+        if len(run) <= syncmers.TOKEN:
+            out.append(run)
+            continue
+        held = ""
+        for c in run:
+            if ord(c) > 127:
+                out += [held, c] if held else [c]
+                held = ""
+            else:
+                held += c
+                if c in cut or len(held) == syncmers.TOKEN:
+                    out.append(held)
+                    held = ""
+        out += [held] if held else []
+    return out
+
+
+def signed(x):
+    return x - 2**64 if x >= 2**63 else x
+
+
+def syncmers_by_hand(text):
+    """The run hashes of a text, by the rule; hashes chain as Spark's do."""
     k, s = syncmers.K, syncmers.S
-    if not tokens:
-        return 0
-    if len(tokens) < k:
-        return 1
-    return sum(1 for i in range(len(tokens) - k + 1) if min(hashes[i : i + k - s + 1]) in (hashes[i], hashes[i + k - s]))
+    h64 = lambda data, seed: signed(xxhash.xxh64_intdigest(data, seed & (2**64 - 1)))
+    t = [h64(w.encode(), 42) for w in tokens_by_hand(text)]
+
+    def whole(run):
+        seed = 42
+        for x in run:
+            seed = h64(struct.pack("<q", x), seed)
+        return seed & 0xFFFFFFFF
+
+    if len(t) < k:
+        return [whole(t)] if t else []
+    inner = [a ^ (b >> 1) for a, b in zip(t, t[1:], strict=False)]
+    return [whole(t[i : i + k]) for i in range(len(t) - k + 1) if min(inner[i : i + k - s + 1]) in (inner[i], inner[i + k - s])]
+
+
+def likeness_by_hand(a, b):
+    return len({*a} & {*b}) / len({*a} | {*b}) if a or b else 1.0
 
 
 def test_fingerprints(spark, monkeypatch):
     monkeypatch.setattr(syncmers, "ROWS", 20)
     df = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
-    texts = {r.doc_id: r.text for r in df.collect()}
+    rng = random.Random(1)
+    odd = ["中文" * 40 + "x", "http://example.org/" + "a1b2" * 30, "y" * 200, "ё" * 50 + " end", "", None, "B" * 17 + "é" + "zzz.zzz" * 5, "\x00\x1f" * 20]
+    df = df.unionByName(spark.createDataFrame([(10_000 + k, t) for k, t in enumerate(odd)], df.schema))
+    texts = {r.doc_id: r.text or "" for r in df.collect()}
     ids = sorted(texts, reverse=True)
+    written = lambda runs: "".join(f"{x:08x}" for x in runs)
     got = {r.doc_id: r for r in syncmers.compared(df).collect()}
     for k, i in enumerate(ids):
         t, after = texts[i], texts[ids[(k + 1) % len(ids)]]
         h = len(t) // 2
-        assert got[i].edited_sha256 == hashlib.sha256((t[: len(t) - h] + after[:h]).encode()).hexdigest() and got[i].n_chars == len(t)
-        a, b = ({f[j : j + 8] for j in range(0, len(f), 8)} for f in (got[i].fingerprint, got[i].edited_fingerprint))
-        assert got[i].near_edited == pytest.approx(len(a & b) / len(a | b) if a | b else 1.0)
-    same = defaultdict(set)
-    for i in ids:
-        same[texts[i]].add(got[i].fingerprint)
-    assert all(len(v) == 1 for v in same.values())
-    long = [i for i in ids if len(texts[i]) > 400]
+        edited = t[: len(t) - h] + after[:h]
+        assert got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and got[i].n_chars == len(t)
+        own, edit, next_ = (syncmers_by_hand(x) for x in (t, edited, after))
+        assert (got[i].fingerprint, got[i].edited_fingerprint) == (written(own), written(edit))
+        assert got[i].near_edited == pytest.approx(likeness_by_hand(own, edit)) and got[i].near_next == pytest.approx(likeness_by_hand(own, next_))
+    long = [i for i in ids if len(texts[i]) > 400 and i < 10_000]
     assert np.mean([got[i].near_edited for i in long]) > 0.25 > 0.05 > np.mean([got[i].near_next for i in long])
+    # one character put before a text changes what is near it alone, with and without white space
+    for letters in ("".join(map(chr, range(0x4E00, 0x4F00))), "abcdefghijklmnopqrstuvwxyz0123456789/.", "abcdefghij klmno "):
+        t = "".join(rng.choice(letters) for _ in range(3000))
+        pair = spark.createDataFrame([("b", t), ("a", "X" + t)], "doc_id string, text string")
+        assert {r.doc_id: r.near_next for r in syncmers.compared(pair).collect()}["b"] > 0.95
 
 
 def test_fingerprint_edges(spark):
@@ -310,25 +445,105 @@ def test_near_duplicates_of_repeated_rows_and_null_ids(spark):
     assert stages.simhash(spark, df.limit(0), SMALL).count() == 0
 
 
+CLASHES = ["target", "sid", "source_size", "shards", "nb", "_nb", "taken", "shard", "size", "_size", "score", "_score", "_key", "_runs", "key", "row", "text_", "fp", "number", "id", "place", "extra", "runs", "pass"]
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    from isomere.llm import stages
+
+    rng = random.Random(2)
+    rows = [(k, " ".join(rng.choice(["sun", "moon", "a", "of", "stars"]) + str(rng.randint(0, 99)) for _ in range(60)), rng.choice("ab"), 7, *[f"{c}{k}" for c in CLASHES]) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHES))
+    df.select(F.col("doc_id"), (F.col("doc_id") % 2).cast("int").alias("quality")).write.mode("overwrite").parquet(f"{(d := tempfile.mkdtemp())}/labels.parquet")
+    for stage in (stages.quality, stages.simhash, stages.repeats, stages.mix):
+        out = stage(spark, df, d)
+        assert out.columns == df.columns
+        for r in out.collect():
+            assert all(r[c] == f"{c}{r.doc_id}" for c in CLASHES)
+    assert stages.mix(spark, df, d).count() >= 40
+
+
+def mix_by_hand(rows):
+    """(id, text) of each pass over (id, text, source) rows, each id once: the operator's rule seat by seat."""
+    word = re.compile(r"[^\x20\x09-\x0D]+")
+    size = {k: len(word.findall(t or "")) for k, t, _ in rows}
+    place = {k: hashlib.md5(f"mix-1{k}".encode()).hexdigest() for k, _, _ in rows}
+    total = Counter()
+    for k, _, s in rows:
+        total[s] += size[k]
+    want = targets_by_hand(total)
+    names = sorted(total, key=lambda s: (s is None, (s or "").encode()))
+    seats = dict(zip(names, divisor_seats([want[s] for s in names], int(sum(total.values()) * 1.5 / 16 + 0.5)), strict=True))
+    out = []
+    for s in names:
+        shards = 1 if total[s] <= mixing.SHARD_WORDS else 2 ** ((total[s] - 1) // mixing.SHARD_WORDS).bit_length()
+        members = defaultdict(list)
+        for k, t, source in rows:
+            if source == s:
+                members[int(place[k][:8], 16) % mixing.FINE % shards].append((place[k], k, t))
+        words = [sum(size[k] for _, k, _ in members[h]) for h in range(shards)]
+        for h, quota in enumerate(divisor_seats(words, seats[s])):
+            n = -(-words[h] // 16)
+            quota, at = min(quota, 2 * n), 0
+            seed = int(hashlib.md5(f"mix-1/{s or ''}/{h}".encode()).hexdigest()[:8], 16) % max(n, 1)
+            more = [((j + 1) * (quota % n) + seed) // n > (j * (quota % n) + seed) // n for j in range(n)]
+            for _, k, t in sorted(members[h]):
+                spans = [m.span() for m in word.finditer(t or "")]
+                ends = [b for b, _ in spans[1:]] + [len(t or "")]
+                some = [t[a:e] for i, ((a, _), e) in enumerate(zip(spans, ends, strict=True)) if more[(at + i) // 16]]
+                for _ in range(quota // n if n and spans else 0):
+                    out.append((k, t))
+                if some:
+                    out.append((k, t if len(some) == len(spans) else "".join(some)))
+                at += len(spans)
+    return out
+
+
 def test_pipeline(spark):
+    """The rows of run() against each stage by brute force."""
+    import base64
+
+    import public_tokenizers as P
+    import tiktoken
+
     import corpus_pipeline
     from isomere.llm import stages
 
     d = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{d}/documents.parquet")
-    kept = stages.quality(spark, docs, d)
+    kept = stages.quality(spark, docs, d).cache()
     assert kept.columns == docs.columns
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
     ids = {r.doc_id for r in kept.select("doc_id").collect()}
     assert sum(i in ids for i, q in labels.items() if q) >= 0.99 * sum(labels.values())
-    alone = stages.simhash(spark, kept.cache(), d)
-    rows = [(r.doc_id, simhash.fingerprint(r.text)) for r in kept.collect()]
-    x = np.array([f for _, f in rows], np.uint64)
+    rows = kept.select("doc_id", "text", "source").collect()
+    assert len({r.doc_id for r in rows}) == len(rows)
+    x = np.array([simhash.fingerprint(r.text) for r in rows], np.uint64)
     i, j = np.nonzero(np.bitwise_count(x[:, None] ^ x[None]) <= 3)
     first = {}
-    for (doc, _), g in zip(rows, groups(len(rows), zip(i.tolist(), j.tolist(), strict=True)), strict=True):
-        first[g] = min(first.get(g, doc), doc)
-    assert {r.doc_id for r in alone.select("doc_id").collect()} == set(first.values())
+    for r, g in zip(rows, groups(len(rows), zip(i.tolist(), j.tolist(), strict=True)), strict=True):
+        if g not in first or r.doc_id < first[g].doc_id:
+            first[g] = r
+    alone = list(first.values())
+    cut = cut_by_hand([r.text for r in alone])
+    mixed = mix_by_hand([(r.doc_id, t, r.source) for r, t in zip(alone, cut, strict=True)])
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
+    coder = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    want = Counter((k, len(got), sha(" ".join(map(str, got)).encode()), sha(t.encode())) for k, t in mixed for got in [coder.encode_ordinary(t)])
     out = corpus_pipeline.run(spark, d)
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-    assert {r.doc_id for r in out.collect()} <= set(first.values())
+    assert Counter(map(tuple, out.collect())) == want
+
+
+def cut_by_hand(texts, w=repeats.WINDOW):
+    raws = [(t or "").encode() for t in texts]
+    seen = Counter(r[i : i + w] for r in raws for i in range(len(r) - w + 1))
+    out = []
+    for t, r in zip(texts, raws, strict=True):
+        hit = bytearray(len(r))
+        for i in range(len(r) - w + 1):
+            if seen[r[i : i + w]] > 1:
+                hit[i : i + w] = b"\1" * w
+        out.append(t if not any(hit) else bytes(b for b, h in zip(r, hit, strict=True) if not h).decode(errors="ignore"))
+    return out

@@ -2,6 +2,7 @@
 import base64
 import hashlib
 import random
+import time
 from collections import defaultdict
 from zlib import crc32
 
@@ -72,6 +73,65 @@ def test_main_text_by_class_and_role():
     assert html_text.main_text(page, tree) == "Head\nA long first paragraph of the text with a good many words in it, so that it counts.\nYes.\nLast one."
 
 
+def test_pages_are_read_as_browsers_do():
+    read = lambda html: [t for t, _ in html_text.blocks(html)]
+    assert read("<p data-x=it's>Hello friends don't stop</p><p>Next</p>") == ["Hello friends don't stop", "Next"]
+    assert read("<p title='a > b' class=x/>One</p><!-- <p>no</p> --><p>1 < 2 &lt; 3</p></ nothing><p>Two") == ["One", "1 < 2 < 3", "Two"]
+    assert read("<p>One <a href=x>two<p>three <b>four <i>five</b> six</i></p>") == ["One two", "three four five six"]
+    assert read("<SCRIPT>var x='<p>no</p>';</Script ><p>yes<style>p{}</style> still</p><svg><text>no</text></svg>") == ["yes still"]
+    assert read("<div hidden>no <p>no</p></div><p>a <span style='display:none'>no <span>no</span> no</span>b</p>") == ["a b"]
+    assert read("<p>kept</p><script>the rest <p>is raw text") == ["kept"] and read("<p>kept</p><a href='never ends <p>gone") == ["kept"]
+
+
+@pytest.mark.parametrize("bit", ["<a ", "<b>", "</i>", "<!--", "<", "</", "&", "<p>", "<a b='", '<a b="', "<svg>", "</script ", "<div class=ad>", "<ul><li>", "<a =", "<x" + " " * 50])
+def test_hostile_pages_take_time_in_proportion(bit):
+    tree, page = html_text.model(), "<li><div>" + "<center>" * 5000 + bit * (1_000_000 // len(bit)) + "</i></li>" * 5000
+    began = time.process_time()
+    html_text.main_text(page, tree)
+    assert time.process_time() - began < 12
+
+
+def test_text_features_decide_blocks():
+    """Blocks of the same markup, kept or dropped for their words and links alone."""
+    tree, long = html_text.model(), "word " * 40
+    keep = lambda html: html_text.main_text(html, tree).split("\n")
+    links = "<ul><li><a href=/>Home</a></li><li><a href=/a>About</a></li><li><a href=/l>Login</a></li></ul>"
+    text = "<ul><li>Home rule came late</li><li>About a year later</li><li>Login was not known</li></ul>"
+    assert keep(f"<article><p>{long}</p>{links}<p>{long}</p></article>") == [long.strip()] * 2
+    assert len(keep(f"<article><p>{long}</p>{text}<p>{long}</p></article>")) == 5
+    assert len(keep(f"<p>{long}</p><p>{long}</p>{links}<p>{long}</p>")) == 3
+    # a weak name over running text stays, over a short block goes
+    for html in (f'<section id="related-work"><h2>Related work</h2><p>{long}</p></section>', f'<p class="comment">{long}</p>', f'<div class="legal">{long}</div>'):
+        assert long.strip() in keep(f"<article><p>Start {long}</p>{html}<p>End {long}</p></article>")
+    assert keep(f'<article><p>{long}</p><div class="legal">All rights reserved.</div><p>{long}</p></article>') == [long.strip()] * 2
+    assert keep(f'<article><p>{long}</p><div class="user-feedback"><p>I think {long}</p></div></article>') == [long.strip()]
+    used = set()
+    todo = [tree]
+    while todo:
+        node = todo.pop()
+        if node.feature >= 0:
+            used.add(html_text.FEATURES[node.feature])
+            todo += [node.left, node.right]
+    assert {"words", "links"} <= used and used & {"prev_words", "prev_links", "next_words", "next_links"}
+
+
+def test_pages_of_known_blocks():
+    """Pages put together from known parts: exactly the text of the article comes back."""
+    rng, tree = random.Random(5), html_text.model()
+    words = lambda a, b: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(rng.randint(a, b)))
+    for _ in range(300):
+        title, body = words(2, 8), [words(1, 90) for _ in range(rng.randint(1, 9))]
+        extra = {
+            "nav": "<nav><ul>" + "".join(f"<li><a href='/{words(1, 1)}'>{words(1, 2)}</a>" for _ in range(6)) + "</ul></nav>",
+            "ad": f'<div class="ad">{words(4, 12)}</div>', "side": f"<aside><h3>{words(1, 2)}</h3><p>{words(5, 50)}</aside>", "form": f"<form><p>{words(2, 6)}<input name=q></form>",
+            "note": f'<div class="cookie-notice">{words(4, 14)}</div>', "comments": f'<section class="comments"><h2>{words(1, 2)}</h2><p>{words(10, 60)}</p></section>', "foot": f"<footer>&copy; {words(3, 9)}</footer>",
+        }
+        first, last = rng.sample(sorted(extra), 3), rng.sample(sorted(extra), 3)
+        inner = "".join(f"<p>{x}" + rng.choice(["</p>", ""]) + rng.choice(["", extra["ad"], "<!-- x -->", "<script>var p='<p>';</script>"]) for x in body)
+        page = "<!DOCTYPE html><html><head><title>t</title></head><body>" + "".join(extra[k] for k in first) + f"<article><h1>{title}</h1>{inner}</article>" + "".join(extra[k] for k in last)
+        assert html_text.main_text(page, tree) == "\n".join([title, *body])
+
+
 def test_pages_frame(spark):
     df = spark.createDataFrame([(1, "u", PAGE), (1, "u", PAGE), (2, None, None), (3, "v", "")], "page_id long, url string, html string")
     got = html_text.extract(df).collect()
@@ -110,7 +170,7 @@ def test_chat_reads_back(spark):
 
 def test_chat_windows_repeat_system_and_history(spark):
     rows = [(1, 0, "system", "be kind")] + [(1, t, ("assistant", "user")[t % 2], f"turn {t} " + "x" * 80) for t in range(1, 90)]
-    got = chat.windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), span=100).orderBy("section", "window").collect()
+    got = chat.windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), span=100).orderBy("window").collect()
     assert len(got) > 10
     assert all(r.formatted.startswith("<|im_start|>system\nbe kind<|im_end|>") for r in got)
     assert [r.repeated for r in got[1:5]] == [3, 3, 3, 3]
@@ -119,33 +179,49 @@ def test_chat_windows_repeat_system_and_history(spark):
 
 
 def windows_by_hand(turns, span, history, history_tokens):
-    """(formatted, repeated, learned) of each window of one conversation of plain turns."""
+    """(place, formatted, repeated, learned) of each window of one conversation of plain turns."""
     shown = [f"<|im_start|>{r}\n{x}<|im_end|>\n" for r, x in turns]
-    before = [0]
-    for _, x in turns:
-        before.append(before[-1] + len(x) // 4 + 4)
+    size = [len(x) // 4 + 4 for _, x in turns]
+    before = [sum(size[:p]) for p in range(len(turns))]
+    groups = []
+    for p in range(len(turns)):
+        alone = size[p] > span
+        if p == 0 or alone or size[p - 1] > span or before[p] // span != before[p - 1] // span:
+            groups.append([])
+        groups[-1].append(p)
     out = []
-    for w in sorted({b // span for b in before[:-1]}):
-        own = [p for p in range(len(turns)) if before[p] // span == w]
+    for own in groups:
         past = [p for p in range(max(0, own[0] - history), own[0]) if before[own[0]] - before[p] <= history_tokens]
         lead = [0] if turns[0][0] == "system" and 0 not in past + own else []
-        out.append(("".join(shown[p] for p in lead + past + own), len(lead + past), [turns[p][1] for p in own if turns[p][0] == "assistant"]))
+        out.append((own[0] + 1, "".join(shown[p] for p in lead + past + own), len(lead + past), [turns[p][1] for p in own if turns[p][0] == "assistant"]))
     return out
 
 
-@pytest.mark.parametrize("number", [lambda t: t, lambda t: 10 * t, lambda t: 100 * t, lambda t: 1_700_000_000_000 + 977 * t * t, lambda t: t if t < 70 else t + 1000, lambda t: t - 80])
+@pytest.mark.parametrize("number", [lambda t: t, lambda t: 100 * t, lambda t: 1_700_000_000_000 + 977 * t * t, lambda t: t if t < 70 else t + 1000, lambda t: t - 80])
 def test_chat_windows_do_not_depend_on_turn_numbers(spark, number):
     rng = random.Random(8)
-    turns = [("system", "be kind")] + [(("assistant", "user")[t % 2], f"turn {t} " + "x" * rng.choice([3, 60, 300, 900])) for t in range(1, 200)]
+    turns = [("system", "be kind")] + [(("assistant", "user")[t % 2], f"turn {t} " + "x" * rng.choice([3, 60, 300, 900, 2000])) for t in range(1, 200)]
     df = spark.createDataFrame([(c, number(t), *x) for c in (1, None) for t, x in enumerate(turns)], "conv_id long, turn long, role string, text string")
-    for span, history, limit in ((1024, 2, 256), (100, 3, 150)):
+    for span, history, limit in ((chat.SPAN, chat.HISTORY, chat.HISTORY_TOKENS), (100, 3, 150)):
         got = defaultdict(list)
-        for r in chat.windows(df, span, history, limit).orderBy("section", "window").collect():
-            got[r.conv_id].append((r.formatted, r.repeated, [r.formatted[s.start : s.start + s.length] for s in r.loss]))
+        for r in chat.windows(df, span, history, limit).orderBy("window").collect():
+            got[r.conv_id].append((r.window, r.formatted, r.repeated, [r.formatted[s.start : s.start + s.length] for s in r.loss]))
         want = windows_by_hand(turns, span, history, limit)
         assert len(want) > 5 and got == {1: want, None: want}
 
 
+def test_chat_windows_keep_the_budget(spark):
+    rng = random.Random(4)
+    rows = [(c, t, "system" if t == 0 else ("assistant", "user")[t % 2], "x" * (900 if t == 0 else rng.choice([0, 10, 400, 900, 1800, 9000 if c else 1800]))) for c in range(3) for t in range(300)]
+    tokens = lambda r: [len(x.split("\n", 1)[1]) // 4 + 4 for x in r.formatted.split("<|im_end|>\n")[:-1]]
+    for r in chat.windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect():
+        each = tokens(r)
+        own = each[r.repeated :]
+        # beyond the budget lie only windows of one turn that is too large by itself
+        assert sum(each) <= chat.BUDGET or len(own) == 1 and own[0] > 2 * chat.SPAN
+        assert sum(each) - own[0] <= chat.BUDGET
+
+
 def test_machine_equals_pairwise_sum():
     rng = np.random.default_rng(0)
     m = quality.Machine(0.5, w0=0.3, w=rng.normal(size=50).astype(np.float32), v=rng.normal(size=(50, 3)).astype(np.float32))
@@ -180,6 +256,88 @@ def test_quality_edges(spark):
     assert quality.scored(df.limit(0), m).count() == 0 and quality.scored(df, m).count() == 4
 
 
+def test_quality_scores_equal_pairwise_sums(spark):
+    """Every score of the machine by brute force: all pairs of entries of a text."""
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(["good", "words", "BAD!!", "é", "1234", "a", "longer"]) for _ in range(rng.randint(0, 25))) for _ in range(60)] + [None, "", "x" * 3000]
+    df = spark.createDataFrame([(k, t, k) for k, t in enumerate(texts)], "doc_id long, text string, score_ long")
+    labels = spark.createDataFrame([(k, int(k % 3 > 0)) for k in range(40)] * 2 + [(3, 1), (3, 0)], "doc_id long, quality int")
+    m = quality.train(df, labels)
+    got = {r.doc_id: r.score for r in quality.scored(df, m).collect()}
+    for k, t in enumerate(texts):
+        stats, counts = quality.statistics((t or "").encode())
+        at = [quality.BUCKETS + j * quality.BINS + sum(c <= stats[j] for c in m.cuts[j]) for j in range(len(stats))]
+        val = [0.25] * len(at)
+        norm = sum(np.log1p(c) ** 2 for c in counts.values()) ** 0.5
+        for w, c in counts.items():
+            at.append(crc32(w) % quality.BUCKETS)
+            val.append(np.log1p(c) / norm)
+        y = m.w0 + sum(float(m.w[i]) * x for i, x in zip(at, val, strict=True)) + sum(float(m.v[at[i]].astype(float) @ m.v[at[j]].astype(float)) * val[i] * val[j] for i in range(len(at)) for j in range(i))
+        assert abs(1 / (1 + np.exp(-y)) - got[k]) < 1e-3
+    # labels and texts that repeat an id add nothing; labels that disagree are left out
+    ids = {r.doc_id for r in quality.sample(df.unionByName(df), labels, "quality", 5, 0, 1000).collect()}
+    assert quality.sample(df.unionByName(df), labels, "quality", 5, 0, 1000).count() == len(ids) and 3 not in ids and quality.sample(df, labels, "quality", 5, 0, 7).count() == 7
+
+
+def clause_weights_by_hand(tokens, lexicon):
+    """The five machines one after the other, token by token, without their product."""
+    out, total = [], 0.0
+    threat = negate = 0
+    addressed = reported = False
+    for t in tokens:
+        insult = t in lexicon
+        kind = None if insult else next((c for c, ws in toxicity.CLASSES.items() if t in ws), None)
+        factor = (0.6 if negate and kind != "NEGATE" else 1.0) * (0.8 if reported and kind not in ("REPORT", "END") else 1.0)
+        add = lexicon[t] if insult else 0.0
+        add += 0.5 if insult and addressed else 0.0
+        add += 0.2 if kind == "THREAT" else 0.8 if kind == "TARGET" and threat else 0.0
+        total += add * factor
+        threat = 3 if kind == "THREAT" else 0 if kind in ("TARGET", "END") else max(0, threat - 1)
+        negate = 2 if kind == "NEGATE" else 0 if kind == "END" else max(0, negate - 1)
+        addressed, reported = kind == "TARGET" or addressed and kind != "END", kind == "REPORT" or reported and kind != "END"
+        if kind == "END":
+            out += [total] if total else []
+            total = 0.0
+    return out + ([total] if total else [])
+
+
+def test_product_of_machines_equals_single_machines():
+    rng = random.Random(6)
+    d = toxicity.Detector({"idiot": 3.0, "scum": 2.0, "you": 1.0})
+    some = ["idiot", "scum", "you", "your", "kill", "not", "isn't", "said", ".", "a", "day", "!"]
+    for _ in range(2000):
+        tokens = [rng.choice(some) for _ in range(rng.randint(0, 15))]
+        want = clause_weights_by_hand(tokens, d.lexicon)
+        assert d.clauses(tokens) == pytest.approx(want)
+        words = frozenset(d.lexicon) | toxicity.CLASSES["THREAT"]
+        assert d.clauses(toxicity.skeleton(tokens, words)) == pytest.approx([x for x in want])
+
+
+def test_contractions_negate():
+    d = toxicity.Detector({"idiot": 3.0})
+    weight = lambda s: sum(d.clauses(toxicity.tokens_of(s)))
+    assert weight("he isn't idiot") == weight("he isn’t idiot") == weight("he is not idiot") < weight("he is idiot")
+    assert toxicity.tokens_of("Don't go; l'idiot can't.") == ["don't", "go", ";", "l", "idiot", "can't", "."]
+
+
+def test_toxicity_trains_alike_in_spark_and_in_process(spark):
+    rng = random.Random(3)
+    vocabulary = [f"w{k}" for k in range(300)]
+    rows = []
+    for k in range(600):
+        words = [rng.choice(vocabulary) for _ in range(30)]
+        if k % 6 == 0:
+            for _ in range(3):
+                words[rng.randrange(30)] = rng.choice(["blarg", "zonk", "idiot"])
+        rows.append((k, " ".join(words) + ".", int(k % 6 == 0)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    d = toxicity.train(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    assert {"blarg", "zonk"} <= set(d.lexicon) and not set(d.lexicon) & set(vocabulary)
+    local = toxicity.learn([(t, y) for k, t, y in rows if crc32(str(k).encode()) % 4 != 2])
+    assert {"blarg", "zonk"} <= set(local.lexicon)
+    assert all((d.score(t) >= 0.3) == bool(y) for _, t, y in rows)
+
+
 def test_toxic_grammar():
     d = toxicity.Detector({"idiot": 3.0, "scum": 3.0})
     weight = lambda s: sum(d.clauses(toxicity._token.findall(s.lower())))
@@ -198,8 +356,8 @@ def test_toxicity_held_out(spark):
     flagged = [y for s, y in got if s >= 0.3]
     # in this table the toxic words of other languages also occur by chance in clean texts
     assert sum((s >= 0.3) == bool(y) for s, y in got) / len(got) > 0.97
-    assert sum(flagged) / len(flagged) > 0.9
-    assert sum(flagged) / sum(y for _, y in got) > 0.8
+    assert len(flagged) - sum(flagged) <= 7
+    assert sum(flagged) / sum(y for _, y in got) > 0.93
 
 
 def test_toxicity_edges(spark):
