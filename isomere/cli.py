@@ -19,9 +19,34 @@ from .sources import writers as w
 PLACE = ["contig", "strand", "start", "end"]
 
 
-def session() -> SparkSession:
-    """The active session, or a local one."""
-    return SparkSession.getActiveSession() or SparkSession.builder.appName("isomere").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+def session(threads: int | None = None) -> SparkSession:
+    """The active session, or a new one; ``threads`` are the cores of a local one, and are refused if they are none."""
+    if threads is not None and threads < 1:
+        raise SystemExit("--threads must be at least 1")
+    if (spark := SparkSession.getActiveSession()) is not None:
+        return spark
+    new = SparkSession.builder.appName("isomere").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC")
+    if threads and "spark.master" not in new._options and not os.environ.get("MASTER"):
+        new = new.master(f"local[{threads}]").config("spark.sql.shuffle.partitions", threads)
+    return new.getOrCreate()
+
+
+class Phases:
+    """Times of the phases of a command, a line each on the error stream if asked for."""
+
+    def __init__(self, shown: bool):
+        self.shown, self.began = shown, time.time()
+        self.last = self.began
+
+    def end(self, name: str) -> None:
+        now = time.time()
+        if self.shown:
+            print(f"{name}\t{now - self.last:.3f} s", file=sys.stderr)
+        self.last = now
+
+    def total(self) -> None:
+        if self.shown:
+            print(f"total\t{time.time() - self.began:.3f} s", file=sys.stderr)
 
 
 def _paths(a: argparse.Namespace, source: str, names: dict[str, str]) -> None:
@@ -75,8 +100,7 @@ def _unit_tables(spark, a, membership: DataFrame, records) -> DataFrame:
 
 
 def run_cluster(a: argparse.Namespace) -> None:
-    began = time.time()
-    spark = session()
+    phases, spark = Phases(a.timings), session(a.threads)
     if bool(a.input) == bool(a.manifest):
         raise SystemExit("give either --in or --manifest")
     params = cluster.ClusterParams(a.score1_threshold, a.score2_threshold, not a.skip_score2_attachment, a.three_prime_tolerance_bp, a.max_5p_delta)
@@ -96,8 +120,11 @@ def run_cluster(a: argparse.Namespace) -> None:
     if records:
         at = F.monotonically_increasing_id()
         w.write_lines(a.out_pooled_reads, w.bed6(reads.withColumn("_at", at), "id", ["_at"]))
+    phases.end("read")
     c = cluster.cluster(reads, params, a.min_tu_count or 0)
+    phases.end("cluster")
     members = durable(c.membership, "membership")
+    phases.end("membership")
     w.write_lines(a.out_tu, w.bed6(c.tus, "tu_id", ["tu_id"]))
     w.write_lines(a.out_membership, w.lines(members, [*PLACE, "id"], "id", "tu_id", "score1", "score2", scores=("score1", "score2")))
     long = None
@@ -107,6 +134,7 @@ def run_cluster(a: argparse.Namespace) -> None:
         a.min_tu_count = keep
     else:
         w.write_lines(a.out_tu_count, w.lines(c.tus, ["tu_id"], "tu_id", "n_reads", sep=","), "tu_id,count")
+    phases.end("write and count")
     if a.annotation_bed:
         genes = _annotation(spark, a.annotation_bed)
         hits = durable(annotate.unit_genes(c.tus, genes), "hits")
@@ -121,14 +149,19 @@ def run_cluster(a: argparse.Namespace) -> None:
             per = counts.gene_counts(genes, hits, long, ["sample"])
             grouped = counts.gene_counts(genes, hits, counts.group_counts(long, manifest.as_table(spark, records).select("sample", "grp")), ["grp"])
             _matrices(a, per, "gene_id", ["out_gene_sample_count_matrix", "out_gene_group_count_matrix"], records, {"grp": grouped}, ["gene_idx"])
-    if a.timings:
-        print(f"total\t{time.time() - began:.3f} s", file=sys.stderr)
+        phases.end("annotate")
+    phases.total()
 
 
 def run_recount(a: argparse.Namespace) -> None:
-    spark = session()
+    phases, spark = Phases(a.timings), session(a.threads)
     _paths(a, a.manifest, {"out_tu_count": "tu_count.csv", "out_tu_sample_count_long": "tu_sample_long.tsv", "out_tu_sample_count_matrix": "tu_sample_matrix.tsv", "out_tu_group_count_matrix": "tu_group_matrix.tsv"})
-    _unit_tables(spark, a, bed.parse_membership(spark.read.text(a.pooled_membership)), manifest.parse_manifest(a.manifest))
+    records = manifest.parse_manifest(a.manifest)
+    members = bed.parse_membership(spark.read.text(a.pooled_membership))
+    phases.end("read")
+    _unit_tables(spark, a, members, records)
+    phases.end("write and count")
+    phases.total()
 
 
 def _missed_inputs(spark, a) -> tuple[DataFrame, DataFrame, DataFrame | None, missed.MissedParams]:
@@ -254,7 +287,7 @@ def run_all(a: argparse.Namespace) -> None:
     for name in ("score1_threshold", "score2_threshold", "three_prime_tolerance_bp", "max_5p_delta", "min_read_len", "min_tu_count"):
         if (value := getattr(a, name)) is not None:
             args += [f"--{name.replace('_', '-')}", str(value)]
-    main([*args, *(["--skip-score2-attachment"] if a.skip_score2_attachment else [])])
+    main([*args, *(["--skip-score2-attachment"] if a.skip_score2_attachment else []), *(["--timings"] if a.timings else [])])
 
 
 def parser() -> argparse.ArgumentParser:

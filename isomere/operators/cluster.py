@@ -25,9 +25,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import intervals as iv
-from ..runtime import durable, ship
+from ..runtime import durable, ship, small
 from .components import components
-from .ranges import islands, overlap_join
+from .ranges import SMALL, islands, overlap_join, ranked
 
 ISLAND = 512
 PLACE = ["contig", "strand", "start", "end"]
@@ -183,16 +183,26 @@ def solve_island(s: np.ndarray, e: np.ndarray, ids: list[str], minus: bool, p: C
     return rep, np.array(unit)
 
 
-def _by_island(places: DataFrame, p: ClusterParams) -> DataFrame:
+def _by_island(places: DataFrame, p: ClusterParams, tasks: int) -> DataFrame:
+    """Islands are dealt to ``tasks`` groups, each solving its islands one after the other."""
     ship(places.sparkSession)
+    names = [*PLACE, "id", "n_reads", "rep_start", "rep_end", "unit_start", "unit_end"]
 
     def run(group: pa.Table) -> pa.Table:
-        # one task slice holds whole islands of a contig and strand
-        s, e, ids = group["start"].to_numpy(), group["end"].to_numpy(), group["id"].to_pylist()
-        rep, unit = solve_island(s, e, ids, group["strand"][0].as_py() == "-", p)
-        return pa.table({"contig": group["contig"], "strand": group["strand"], "start": s, "end": e, "id": group["id"], "n_reads": group["n_reads"], "rep_start": s[rep], "rep_end": e[rep], "unit_start": s[unit], "unit_end": e[unit]})
-
-    return places.groupBy("contig", "strand", "island").applyInArrow(run, "contig string, strand string, start long, end long, id string, n_reads long, rep_start long, rep_end long, unit_start long, unit_end long")
+        group = group.combine_chunks().sort_by([("contig", "ascending"), ("strand", "ascending"), ("island", "ascending")])
+        contig, strand = (group[c].combine_chunks().dictionary_encode() for c in ("contig", "strand"))
+        island, s, e, ids = group["island"].to_numpy(), group["start"].to_numpy(), group["end"].to_numpy(), group["id"].to_pylist()
+        a, b = contig.indices.to_numpy(), strand.indices.to_numpy()
+        minus = [x == "-" for x in strand.dictionary.to_pylist()]
+        first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (island[1:] != island[:-1])]))
+        rep, unit = np.empty(len(s), np.int64), np.empty(len(s), np.int64)
+        for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(s)], strict=True):
+            r, u = solve_island(s[lo:hi], e[lo:hi], ids[lo:hi], minus[b[lo]], p)
+            rep[lo:hi], unit[lo:hi] = lo + r, lo + u
+        return pa.table([*(group[c] for c in PLACE), group["id"], group["n_reads"], *(pa.array(x) for x in (s[rep], e[rep], s[unit], e[unit]))], names=names)
+
+    dealt = places.withColumn("_task", F.pmod(F.xxhash64("contig", "strand", "island"), F.lit(tasks)))
+    return dealt.groupBy("_task").applyInArrow(run, "contig string, strand string, start long, end long, id string, n_reads long, rep_start long, rep_end long, unit_start long, unit_end long")
 
 
 def assign(reads: DataFrame, p: ClusterParams = ClusterParams(), island: int = ISLAND) -> DataFrame:
@@ -200,16 +210,20 @@ def assign(reads: DataFrame, p: ClusterParams = ClusterParams(), island: int = I
     places = islands(distinct_intervals(reads), ["contig", "strand"])
     size = F.count("*").over(Window.partitionBy("contig", "strand", "island"))
     places = durable(places.withColumn("_size", size), "places")
-    small, large = places.filter(F.col("_size") <= island), places.filter(F.col("_size") > island)
-    out = _by_island(small.drop("_size"), p)
-    return out if large.isEmpty() else out.unionByName(_by_join(large.drop("_size", "island"), p))
+    kind = F.when(F.col("_size") > island, 2).when(F.col("_size") == 1, 0).otherwise(1)
+    found = {r.kind: r.n for r in places.groupBy(kind.alias("kind")).agg(F.count("*").alias("n")).collect()}
+    # an interval alone on its island is its own unit
+    own = {f"{k}_{c}": F.col(c) for k in ("rep", "unit") for c in ("start", "end")}
+    out = places.filter(kind == 0).withColumns(own).select(*PLACE, "id", "n_reads", "rep_start", "rep_end", "unit_start", "unit_end")
+    if 1 in found:
+        out = out.unionByName(_by_island(places.filter(kind == 1).drop("_size"), p, max(reads.sparkSession.sparkContext.defaultParallelism, found[1] // 20_000)))
+    return out.unionByName(_by_join(places.filter(kind == 2).drop("_size", "island"), p)) if 2 in found else out
 
 
 def numbered(units: DataFrame, prefix: str = "TU", least: int = 6) -> DataFrame:
-    """Adds ``tu_id`` in the order contig, strand, start, end, id. Units, not reads, are numbered in one sorted task."""
-    n = F.row_number().over(Window.orderBy(*PLACE, "id")).cast("string")
-    total = F.count("*").over(Window.orderBy(*PLACE, "id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).cast("string")
-    return units.withColumn("tu_id", F.concat(F.lit(prefix), F.lpad(n, F.greatest(F.lit(least), F.length(total)), F.lit("0"))))
+    """Adds ``tu_id`` in the order contig, strand, start, end, id."""
+    units, n = ranked(durable(units, "units"), [*PLACE, "id"], "_rank")
+    return units.withColumn("tu_id", iv.padded_id(prefix, "_rank", n, least)).drop("_rank")
 
 
 @dataclass
@@ -228,16 +242,17 @@ def cluster(reads: DataFrame, p: ClusterParams = ClusterParams(), min_count: int
     units = placed.groupBy("contig", "strand", "unit_start", "unit_end").agg(F.sum("n_reads").alias("n_reads"), F.max(F.when(stands, F.col("id"))).alias("id"))
     units = units.filter(F.col("n_reads") >= min_count).withColumnsRenamed({"unit_start": "start", "unit_end": "end"})
     tus = durable(numbered(units), "tus").select("tu_id", *PLACE, "id", "n_reads")
-    joined = reads.join(placed.drop("id", "n_reads"), PLACE)
     own = tus.select("tu_id", "contig", "strand", F.col("start").alias("unit_start"), F.col("end").alias("unit_end"))
+    # units go to the different intervals, and these to the reads, which move once at most
+    of_place = durable(placed.drop("id", "n_reads").join(small(own, SMALL), ["contig", "strand", "unit_start", "unit_end"]), "unit-places")
     args = ("start", "end", "unit_start", "unit_end")
-    membership = joined.join(own, ["contig", "strand", "unit_start", "unit_end"]).select("id", *PLACE, "tu_id", iv.score1(*args).alias("score1"), iv.score2(*args).alias("score2"))
+    membership = reads.join(small(of_place, SMALL), PLACE).select("id", *PLACE, "tu_id", iv.score1(*args).alias("score1"), iv.score2(*args).alias("score2"))
     return Clustering(tus, membership)
 
 
 def stats(reads: DataFrame) -> DataFrame:
     """One row: partitions, islands and the largest of each, counted in reads."""
-    at = islands(reads.filter("start < end"), ["contig", "strand"])
-    parts = at.groupBy("contig", "strand").agg(F.count("*").alias("n"), F.max("island").alias("regions"))
-    region = at.groupBy("contig", "strand", "island").agg(F.count("*").alias("n"))
-    return parts.agg(F.count("*").alias("partitions"), F.sum("regions").alias("regions"), F.max("n").alias("max_partition_reads"), F.max("regions").alias("max_partition_regions")).crossJoin(region.agg(F.max("n").alias("max_region_reads")))
+    at = islands(distinct_intervals(reads.filter("start < end")), ["contig", "strand"])
+    region = at.groupBy("contig", "strand", "island").agg(F.sum("n_reads").alias("n"))
+    parts = region.groupBy("contig", "strand").agg(F.sum("n").alias("n"), F.count("*").alias("regions"), F.max("n").alias("most"))
+    return parts.agg(F.count("*").alias("partitions"), F.sum("regions").alias("regions"), F.max("n").alias("max_partition_reads"), F.max("regions").alias("max_partition_regions"), F.max("most").alias("max_region_reads"))

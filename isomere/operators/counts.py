@@ -21,6 +21,17 @@ def pooled(samples: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def pooled_rows(reads: DataFrame) -> DataFrame:
+    """The same for reads that name their sample in a column, in one pass."""
+    name = F.when(F.col("sample").contains("::"), F.raise_error(F.concat(F.lit("sample name holds '::': "), "sample")).cast("string")).otherwise(F.col("sample"))
+    return reads.withColumn("sample", name).withColumn("id", iv.pooled_id("sample", "id"))
+
+
+def unit_ids(membership: DataFrame) -> DataFrame:
+    """(sample, tu_ids): the different units of pooled ids, sorted."""
+    return membership.groupBy(iv.pooled_sample("id").alias("sample")).agg(F.array_join(F.array_sort(F.collect_set("tu_id")), ",").alias("tu_ids"))
+
+
 def unit_counts(membership: DataFrame, minimum: int = 0) -> DataFrame:
     return membership.groupBy("tu_id").agg(F.count("*").alias("count")).filter(F.col("count") >= minimum)
 

@@ -5,12 +5,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import intervals as iv
 from ..runtime import durable, ship
-from .ranges import overlap_join, sessions
+from .ranges import neighbours, overlap_join, ranked, sessions
 
 PLACE = ["contig", "strand", "start", "end"]
 FAMILY = ["contig", "strand", "family"]
@@ -33,7 +33,7 @@ class MissedParams:
 def families(reads: DataFrame, window: int) -> DataFrame:
     """Reads with p3, p5 and ``family``: runs of 3' ends that follow each other within the window."""
     df = reads.withColumns({"p3": iv.three_prime("strand", "start", "end"), "p5": iv.five_prime("strand", "start", "end")})
-    return sessions(df, ["contig", "strand"], F.col("p3"), window, "family", ["p5", "id"])
+    return sessions(df, ["contig", "strand"], F.col("p3"), window, "family")
 
 
 def family_modes(fam: DataFrame, minimum: int) -> DataFrame:
@@ -110,22 +110,30 @@ def nearest_units(cands: DataFrame, tus: DataFrame, p: MissedParams) -> DataFram
 
     ``tus`` has tu_idx, its place in the file, which breaks ties.
     """
-    t = tus.select("contig", "strand", F.col("tu_id").alias("nearest_tu_id"), "tu_idx", F.col("start").alias("nearest_start"), F.col("end").alias("nearest_end"), iv.three_prime("strand", "start", "end").alias("_t3"), iv.five_prime("strand", "start", "end").alias("_t5"))
+    at = ["contig", "strand"]
+    t = tus.select(*at, F.col("tu_id").alias("nearest_tu_id"), "tu_idx", F.col("start").alias("nearest_start"), F.col("end").alias("nearest_end"), iv.three_prime("strand", "start", "end").alias("_t3"), iv.five_prime("strand", "start", "end").alias("_t5"))
     key = [*FAMILY, "c3", "c5"]
-    both = cands.join(t, ["contig", "strand"], "left")
-    d3, d5 = F.abs(F.col("_t3") - F.col("c3")), F.abs(F.col("_t5") - F.col("c5"))
+    gap = lambda c, p, n: F.least(F.col(c) - F.col(p), F.col(n) - F.col(c))
+    near = cands.join(neighbours(cands, t, at, "c3", "_t3", "_p3", "_n3"), [*at, "c3"]).join(neighbours(cands, t, at, "c5", "_t5", "_p5", "_n5"), [*at, "c5"])
+    near = near.withColumns({"_g3": gap("c3", "_p3", "_n3"), "any3": F.coalesce(gap("c3", "_p3", "_n3") <= p.window3, F.lit(False)), "any5": F.coalesce(gap("c5", "_p5", "_n5") <= p.window5, F.lit(False))})
+    # units within both windows of a candidate lie in its cell or a neighbouring one
+    cell = lambda c, width: F.floor(F.col(c) / (width + 1))
+    around = lambda c, width: F.explode(F.sequence(cell(c, width) - 1, cell(c, width) + 1))
+    spots = t.select(*at, "_t3", "_t5", cell("_t3", p.window3).alias("_a"), cell("_t5", p.window5).alias("_b")).distinct()
+    cells = cands.select(*key, around("c3", p.window3).alias("_a")).select("*", around("c5", p.window5).alias("_b"))
+    same = cells.join(spots, [*at, "_a", "_b"]).filter((F.abs(F.col("_t3") - F.col("c3")) <= p.window3) & (F.abs(F.col("_t5") - F.col("c5")) <= p.window5)).select(*key).distinct()
+    near = near.join(same, key, "left_anti")
+    # the nearest unit has the nearest 3' end, of which there are two at most
+    ends = F.array_distinct(F.array_compact(F.array(F.when(F.col("c3") - F.col("_p3") == F.col("_g3"), F.col("_p3")), F.when(F.col("_n3") - F.col("c3") == F.col("_g3"), F.col("_n3")))))
     args = ("start", "end", "nearest_start", "nearest_end")
-    both = both.withColumns({"d3": d3, "d5": d5, "score1": iv.score1(*args), "score2": iv.score2(*args)})
-    hit3, hit5 = F.coalesce(F.col("d3") <= p.window3, F.lit(False)), F.coalesce(F.col("d5") <= p.window5, F.lit(False))
-    # one pass per candidate: flags and the best unit as the smallest struct
-    best = F.min(F.when(F.col("tu_idx").isNotNull(), F.struct("d3", "d5", (-F.col("score2")).alias("_m"), "tu_idx", "nearest_tu_id", "nearest_start", "nearest_end", "score1", "score2")))
-    keep = [c for c in cands.columns if c not in key]
-    out = both.groupBy(*key, *keep).agg(F.max(hit3).alias("any3"), F.max(hit5).alias("any5"), F.max(hit3 & hit5).alias("_same"), best.alias("_b")).filter("not _same")
+    both = near.select(*key, "start", "end", F.explode(ends).alias("_t3")).join(t, [*at, "_t3"]).withColumns({"d3": F.abs(F.col("_t3") - F.col("c3")), "d5": F.abs(F.col("_t5") - F.col("c5")), "score1": iv.score1(*args), "score2": iv.score2(*args)})
+    best = F.min(F.struct("d3", "d5", (-F.col("score2")).alias("_m"), "tu_idx", "nearest_tu_id", "nearest_start", "nearest_end", "score1", "score2"))
+    out = near.drop("_p3", "_n3", "_p5", "_n5", "_g3").join(both.groupBy(*key).agg(best.alias("_b")), key, "left")
     reason = (
         F.when(F.col("any3") & ~F.col("any5"), "same_3p_missing_5p_mode").when(F.col("any5") & ~F.col("any3"), "same_5p_missing_3p_mode").when(F.col("any3") & F.col("any5"), "boundary_mode_shifted").otherwise("no_matching_tu")
     )
     cols = ["nearest_tu_id", "nearest_start", "nearest_end", "d3", "d5", "score1", "score2"]
-    return out.withColumns({"reason": reason, **{c: F.col(f"_b.{c}") for c in cols}}).drop("_b", "_same", "any3", "any5")
+    return out.withColumns({"reason": reason, **{c: F.col(f"_b.{c}") for c in cols}}).drop("_b", "any3", "any5")
 
 
 def gene_hints(cands: DataFrame, genes: DataFrame) -> DataFrame:
@@ -134,17 +142,24 @@ def gene_hints(cands: DataFrame, genes: DataFrame) -> DataFrame:
     g = genes.select("contig", "strand", "gene_idx", "gene_id", F.col("start").alias("gene_start"), F.col("end").alias("gene_end"))
     spots = cands.select(*key).distinct()
     over = overlap_join(spots, g, ["contig", "strand"], b_cols=("gene_start", "gene_end")).groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("gene_idx", "gene_id"))), lambda x: x["gene_id"]), ",").alias("_over"))
-    # only candidates without a hit look further
-    far = spots.join(over, key, "left_anti").join(g, ["contig", "strand"]).groupBy(*key).agg(F.min(F.struct(iv.distance("start", "end", "gene_start", "gene_end").alias("d"), "gene_idx", "gene_id")).alias("_far"))
+    # only candidates without a hit look further: to the genes that end nearest before them or begin nearest after them
+    far = durable(spots.join(over, key, "left_anti"), "far")
+    at = ["contig", "strand"]
+    left = far.join(neighbours(far, g, at, "start", "gene_end", "_p", "_q").drop("_q"), [*at, "start"]).withColumnRenamed("_p", "gene_end").join(g, [*at, "gene_end"])
+    right = far.join(neighbours(far, g, at, "end", "gene_start", "_q", "_p").drop("_q"), [*at, "end"]).withColumnRenamed("_p", "gene_start").join(g, [*at, "gene_start"])
+    # empty intervals overlap nothing, but may lie within the other or at its place
+    wide = lambda df, a, b: df.withColumns({"_s": F.col(a), "_e": F.greatest(F.col(b), F.col(a) + 1)})
+    empty = overlap_join(wide(far, "start", "end"), wide(g, "gene_start", "gene_end").withColumnsRenamed({"_s": "_gs", "_e": "_ge"}), at, a_cols=("_s", "_e"), b_cols=("_gs", "_ge")).filter("start = end or gene_start = gene_end")
+    cols = [*key, "gene_idx", "gene_id", "gene_start", "gene_end"]
+    found = left.select(*cols).union(right.select(*cols)).union(empty.select(*cols))
+    far = found.groupBy(*key).agg(F.min(F.struct(iv.distance("start", "end", "gene_start", "gene_end").alias("d"), "gene_idx", "gene_id")).alias("_far"))
     return cands.join(over, key, "left").join(far, key, "left").withColumn("gene_hint", F.coalesce("_over", "_far.gene_id", F.lit("."))).drop("_over", "_far")
 
 
 def diagnose(reads: DataFrame, tus: DataFrame, genes: DataFrame | None, p: MissedParams = MissedParams()) -> DataFrame:
     """The candidates report, numbered MISS0001 and on by position."""
-    cands = detect(reads, tus, genes, p)[1]
-    cands = durable(cands, "candidates")
-    w = Window.orderBy(*PLACE, F.col("mode_support").desc())
-    return cands.withColumn("candidate_id", iv.padded_id("MISS", F.row_number().over(w), cands.count(), 4))
+    cands, n = ranked(durable(detect(reads, tus, genes, p)[1], "candidates"), [*PLACE, F.col("mode_support").desc()], "_rank")
+    return cands.withColumn("candidate_id", iv.padded_id("MISS", "_rank", n, 4)).drop("_rank")
 
 
 def detect(reads: DataFrame, tus: DataFrame, genes: DataFrame | None, p: MissedParams) -> tuple[DataFrame, DataFrame]:
@@ -158,7 +173,8 @@ def detect(reads: DataFrame, tus: DataFrame, genes: DataFrame | None, p: MissedP
 def without_neighbours(cands: DataFrame, p: MissedParams) -> DataFrame:
     """Per contig and strand, best first: drops candidates within both windows of a kept one; adds cand_idx by position.
 
-    Candidates are reports of families, far fewer than reads.
+    Only candidates whose 3' ends follow each other within the window can drop
+    one another, so each such chain is settled by itself.
     """
     ship(cands.sparkSession)
     w3, w5 = p.window3, p.window5
@@ -178,8 +194,9 @@ def without_neighbours(cands: DataFrame, p: MissedParams) -> DataFrame:
                 grid.setdefault((x, y), []).append(i)
         return group.take(pa.array(sorted(kept), pa.int64())).select(names)
 
-    out = cands.groupBy("contig", "strand").applyInArrow(run, cands.schema)
-    return out.withColumn("cand_idx", F.row_number().over(Window.orderBy(*PLACE, F.col("mode_support").desc())))
+    chained = sessions(cands, ["contig", "strand"], F.col("c3"), w3, "_chain")
+    out = durable(chained.groupBy("contig", "strand", "_chain").applyInArrow(run, cands.schema), "apart")
+    return ranked(out, [*PLACE, F.col("mode_support").desc()], "cand_idx")[0]
 
 
 def rescue(reads: DataFrame, tus: DataFrame, membership: DataFrame, genes: DataFrame | None, p: MissedParams = MissedParams(), prefix: str = "RESC") -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -204,8 +221,8 @@ def rescue(reads: DataFrame, tus: DataFrame, membership: DataFrame, genes: DataF
     use = tested.filter(F.col("u3").isNull() | (F.struct("d3", "d5") <= F.struct(F.col("u3").alias("d3"), F.col("u5").alias("d5"))))
     gate2 = use.groupBy("cand_idx").agg(F.count("*").alias("n")).filter(F.col("n") >= p.min_mode).select("cand_idx")
     kept = durable(cands.join(gate2, "cand_idx"), "rescued")
-    total = kept.count()
-    kept = kept.withColumn("rescue_id", iv.padded_id(prefix, F.row_number().over(Window.orderBy("cand_idx")), total, 4))
+    kept, total = ranked(kept, ["cand_idx"], "_rank")
+    kept = kept.withColumn("rescue_id", iv.padded_id(prefix, "_rank", total, 4)).drop("_rank")
     moved = use.join(kept.select("cand_idx", "rescue_id"), "cand_idx").select("id", *PLACE, F.col("rescue_id").alias("new_id"), "cand_start", "cand_end")
     everyone = reads.select("id", *PLACE).join(moved, ["id", *PLACE], "left").join(now.drop("_tc", "_ts"), "id", "left")
     final = everyone.withColumns({"tu_id": F.coalesce("new_id", "tu_id"), "_us": F.coalesce("cand_start", "_s"), "_ue": F.coalesce("cand_end", "_e")}).filter("tu_id is not null")

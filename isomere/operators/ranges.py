@@ -1,12 +1,16 @@
 """Range joins, islands and merged intervals as equi-joins and windows."""
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.intervals import overlap_len
+from ..runtime import durable, small
 
-BIN = 4096
+#: Positions in a bin of the overlap join; in a bin that is sorted as one; rows that one task may number or that are broadcast.
+BIN, SPAN, SMALL = 4096, 1 << 16, 200_000
 
 
 def _binned(df: DataFrame, start: str, end: str, width: int, out: str) -> DataFrame:
@@ -28,11 +32,33 @@ def overlap_join(a: DataFrame, b: DataFrame, keys: list[str], min_bp: int = 1, w
     return pairs.filter((bp >= max(1, min_bp)) & (F.col("_bin") == F.expr(f"greatest({s1}, {s2}) div {width}"))).withColumn("overlap_bp", bp).drop("_bin")
 
 
+def _over_bins(rows: DataFrame, keys: list[str], later: bool = False, **values: tuple[Column, Callable]) -> DataFrame:
+    """(keys, _bin) with each value, an aggregate of a bin, folded over the earlier bins of the same keys (or the later ones)."""
+    bins = rows.groupBy(*keys, "_bin").agg(*(v.alias(c) for c, (v, _) in values.items()))
+    w = Window.partitionBy(*keys).orderBy("_bin")
+    w = w.rowsBetween(1, Window.unboundedFollowing) if later else w.rowsBetween(Window.unboundedPreceding, -1)
+    return bins.select(*keys, "_bin", *(fold(c).over(w).alias(c) for c, (_, fold) in values.items()))
+
+
+def _place(df: DataFrame, at: str) -> DataFrame:
+    return df.withColumn("_bin", F.expr(f"`{at}` div {SPAN}"))
+
+
 def islands(df: DataFrame, keys: list[str], start: str = "start", end: str = "end", out: str = "island") -> DataFrame:
-    """Numbers maximal groups of rows whose intervals overlap in a chain, within ``keys``; touching does not chain."""
-    w = Window.partitionBy(*keys).orderBy(start, end)
-    top = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return df.withColumn("_new", F.when(top.isNull() | (F.col(start) >= top), 1).otherwise(0)).withColumn(out, F.sum("_new").over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))).drop("_new")
+    """Numbers maximal groups of rows whose intervals overlap in a chain, within ``keys``; touching does not chain.
+
+    Rows are dealt to bins of ``SPAN`` positions by their start and sorted within
+    them; only the end reached so far and the number of groups go from bin to
+    bin, so no task sorts a whole contig.
+    """
+    w = Window.partitionBy(*keys, "_bin").orderBy(start, end)
+    rows = _place(df, start)
+    rows = rows.join(_over_bins(rows, keys, _reach=(F.max(end), F.max)), [*keys, "_bin"])
+    top = F.greatest("_reach", F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    rows = rows.withColumn("_new", F.when(top.isNull() | (F.col(start) >= top), 1).otherwise(0))
+    rows = rows.withColumn(out, F.sum("_new").over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
+    rows = rows.join(_over_bins(rows, keys, _earlier=(F.sum("_new"), F.sum)), [*keys, "_bin"])
+    return rows.withColumn(out, F.col(out) + F.coalesce("_earlier", F.lit(0))).drop("_bin", "_reach", "_new", "_earlier")
 
 
 def merge_overlaps(df: DataFrame, keys: list[str], start: str = "start", end: str = "end") -> DataFrame:
@@ -48,22 +74,58 @@ def span_clusters(df: DataFrame, match_strand: bool) -> DataFrame:
     start, end and the number of members.
     """
     order = ["start", "end", "strand", "id"]
-    w = Window.partitionBy("contig").orderBy(*order)
+    rows = _place(df, "start").withColumn("_run", F.lit(0))
     if match_strand:
-        change = F.lag("strand").over(w)
-        df = df.withColumn("_run", F.sum(F.when(change.isNull() | (change != F.col("strand")), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    else:
-        df = df.withColumn("_run", F.lit(0))
-    v = Window.partitionBy("contig", "_run").orderBy(*order)
-    top = F.max("end").over(v.rowsBetween(Window.unboundedPreceding, -1))
-    df = df.withColumn("_new", F.when(top.isNull() | (F.col("start") >= top), 1).otherwise(0)).withColumn("_island", F.sum("_new").over(v.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        w = Window.partitionBy("contig", "_bin").orderBy(*order)
+        rows = rows.join(_over_bins(rows, ["contig"], _last=(F.max_by("strand", F.struct(*order)), F.last)), ["contig", "_bin"])
+        before = F.coalesce(F.lag("strand").over(w), "_last")
+        rows = rows.withColumn("_new", F.when(before.isNull() | (before != F.col("strand")), 1).otherwise(0))
+        rows = rows.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        rows = rows.join(_over_bins(rows, ["contig"], _earlier=(F.sum("_new"), F.sum)), ["contig", "_bin"])
+        rows = rows.withColumn("_run", F.col("_run") + F.coalesce("_earlier", F.lit(0))).drop("_last", "_new", "_earlier")
+    rows = islands(rows.drop("_bin"), ["contig", "_run"], out="_island")
     strand = F.first("strand") if match_strand else F.max(F.lit(None).cast("string"))
-    return df.groupBy("contig", "_run", "_island").agg(strand.alias("strand"), F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("members")).drop("_run", "_island")
+    return rows.groupBy("contig", "_run", "_island").agg(strand.alias("strand"), F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("members")).drop("_run", "_island")
+
 
+def sessions(df: DataFrame, keys: list[str], coord: Column, gap: int, out: str) -> DataFrame:
+    """Numbers runs of rows whose ``coord`` follows the last one within ``gap``.
 
-def sessions(df: DataFrame, keys: list[str], coord: Column, gap: int, out: str, ties: list[str]) -> DataFrame:
-    """Numbers runs of rows whose ``coord`` follows the last one within ``gap``."""
-    w = Window.partitionBy(*keys).orderBy("_x", *ties)
+    The different coordinates are numbered, bin by bin, and joined back; rows
+    themselves are never sorted.
+    """
     df = df.withColumn("_x", coord)
-    last = F.lag("_x").over(w)
-    return df.withColumn("_new", F.when(last.isNull() | (F.col("_x") - last > gap), 1).otherwise(0)).withColumn(out, F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("_new", "_x")
+    w = Window.partitionBy(*keys, "_bin").orderBy("_x")
+    spots = _place(df.select(*keys, "_x").distinct(), "_x")
+    spots = spots.join(_over_bins(spots, keys, _last=(F.max("_x"), F.max)), [*keys, "_bin"])
+    last = F.coalesce(F.lag("_x").over(w), "_last")
+    spots = spots.withColumn("_new", F.when(last.isNull() | (F.col("_x") - last > gap), 1).otherwise(0))
+    spots = spots.withColumn(out, F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    spots = spots.join(_over_bins(spots, keys, _earlier=(F.sum("_new"), F.sum)), [*keys, "_bin"])
+    numbered = durable(spots.select(*keys, "_x", (F.col(out) + F.coalesce("_earlier", F.lit(0))).alias(out)), "sessions")
+    return df.join(small(numbered, SMALL), [*keys, "_x"]).drop("_x")
+
+
+def neighbours(points: DataFrame, marks: DataFrame, keys: list[str], at: str, mark: str, prev: str, next_: str) -> DataFrame:
+    """(keys, at) of the different points with the nearest mark at or before each and at or after it, null for none; bin by bin."""
+    both = points.select(*keys, F.col(at).alias("_x"), F.lit(None).cast("long").alias("_m")).union(marks.select(*keys, F.col(mark).alias("_x"), F.col(mark).cast("long").alias("_m"))).distinct()
+    both = _place(both, "_x")
+    w = Window.partitionBy(*keys, "_bin").orderBy("_x")
+    both = both.withColumns({prev: F.max("_m").over(w.rangeBetween(Window.unboundedPreceding, 0)), next_: F.min("_m").over(w.rangeBetween(0, Window.unboundedFollowing))})
+    both = both.join(_over_bins(both, keys, _before=(F.max("_m"), F.max)), [*keys, "_bin"]).join(_over_bins(both, keys, True, _after=(F.min("_m"), F.min)), [*keys, "_bin"])
+    return both.filter("_m is null").select(*keys, F.col("_x").alias(at), F.coalesce(prev, "_before").alias(prev), F.coalesce(next_, "_after").alias(next_))
+
+
+def ranked(df: DataFrame, order: list, out: str, limit: int = SMALL) -> tuple[DataFrame, int]:
+    """``df`` with ``out``, the place of each row in the order, and the number of rows; ``df`` must be cheap to read.
+
+    Up to ``limit`` rows are numbered in one task; more are dealt by ranges, and
+    only the sizes of the ranges are summed in one place.
+    """
+    n = df.count()
+    if n <= limit:
+        return df.withColumn(out, F.row_number().over(Window.orderBy(*order)).cast("long")), n
+    rows = durable(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+    earlier = rows.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_earlier"))
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return rows.join(earlier, "_part").withColumn(out, own + F.col("_earlier")).drop("_part", "_earlier"), n

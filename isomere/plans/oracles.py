@@ -257,3 +257,16 @@ ORACLES["bed12_scan"] = _with(READS, 'x AS (SELECT *, "end" - 300 AS s2 FROM rea
 ORACLES["dedup_candidates"] = _with(READS, FAM, FMODE, PEAKS, CANDS, _greedy("cands", 400, 400), recursive=True) + f"SELECT {P}, family, family_support, c3, c5, mode_support, mode_fraction, cand_idx FROM kept"
 ORACLES["representative_transcripts"] = _with(READS) + 'SELECT contig AS chrom, strand, start AS tx_start, "end" AS tx_end, id AS name, locus FROM (SELECT *, start // 1500 AS locus, row_number() OVER (PARTITION BY contig, strand, start // 1500 ORDER BY "end" - start DESC, id) AS n FROM reads) WHERE n = 1'
 ORACLES["intersect_transcripts"] = _with(READS, GENES) + f"SELECT g.gene_id AS b_name, count(*) AS n, sum({_bp('r', 'g')})::BIGINT AS overlap_bp FROM reads r JOIN genes g ON {_touch('r', 'g')} WHERE {_bp('r', 'g')} >= 300 GROUP BY g.gene_id"
+
+ORACLES["interval_flags"] = _with(READS, "x AS (SELECT *, greatest(start, start // 1500 * 1500 + 1000) AS stop FROM reads)") + "SELECT id, start, stop, stop <= start AS empty, strand AS matched, CAST(NULL AS VARCHAR) AS any_strand FROM x"
+ORACLES["gene_kinds"] = _with(GENES) + "SELECT gene_idx, CASE gene_idx % 3 WHEN 0 THEN 'mRNA' WHEN 1 THEN 'ncRNA_' || gene_idx ELSE 'gene' END AS kind FROM genes"
+ORACLES["bed6_reads"] = ORACLES["bed12_reads"] = _with(READS) + f"SELECT {P}, id FROM reads"
+ORACLES["bam_scan"] = _with(READS) + "SELECT contig, start, \"end\", id, CAST(length(id) % 60 AS BIGINT) AS score, CASE WHEN strand = '-' THEN '-' ELSE '+' END AS strand FROM reads WHERE \"end\" - start > 100"
+ORACLES["bed6_lines"] = CLUSTER + "SELECT tu_id, contig || chr(9) || start || chr(9) || \"end\" || chr(9) || tu_id || chr(9) || '0' || chr(9) || strand AS line FROM tus"
+ORACLES["bed12_lines"] = _with(GENES, ISLANDS.format("genes"), MERGED) + """SELECT concat_ws(chr(9), contig, start, "end", 'm', n_merged, strand, start, "end", '0', 1, ("end" - start) || ',', '0,') AS line FROM merged"""
+ORACLES["membership_scan"] = CLUSTER + "SELECT sample || '::' || id AS id, tu_id FROM members"
+ORACLES["tu_counts_least"] = CLUSTER + "SELECT tu_id, count(*) AS count FROM members GROUP BY tu_id HAVING count(*) >= 20"
+ORACLES["unknown_samples"] = _with(READS) + "SELECT DISTINCT sample FROM reads WHERE sample IN ('s1', 's3')"
+ORACLES["unit_ids"] = CLUSTER + "SELECT sample, string_agg(DISTINCT tu_id, ',' ORDER BY tu_id) AS tu_ids FROM members GROUP BY sample"
+ORACLES["gene_group_matrix"] = CLUSTER.rstrip() + f",\n{GENES},\n{HITS},\n{LONG},\n{SAMPLES},\nk AS (SELECT gene_idx, grp, sum(count) AS count FROM hits JOIN long USING (tu_id) JOIN samples USING (sample) GROUP BY ALL)\nSELECT g.gene_idx, g.gene_id, {_wide(['even', 'odd'], 'grp')} FROM genes g LEFT JOIN k USING (gene_idx) GROUP BY ALL"
+ORACLES["transcript_order"] = _with(READS) + 'SELECT contig AS chrom, strand, start AS tx_start, "end" AS tx_end, id AS name, row_number() OVER (ORDER BY contig, start, "end", strand, id) AS place FROM reads'

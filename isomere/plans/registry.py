@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import intervals as iv
 from ..operators import annotate, cluster, counts, missed, ranges, transcripts
 from ..runtime import durable
-from ..sources import bed, gff
+from ..sources import bam, bed, gff, writers
 from . import oracles
 from .views import genes, reads, samples
 
@@ -98,9 +98,57 @@ def gff_scan(spark, sf_dir):
 
 @query
 def pooled_union(spark, sf_dir):
-    df = reads(spark, sf_dir).select(*PLACE, "id", "sample")
-    parts = {f"s{k}": df.filter(F.col("sample") == f"s{k}").drop("sample") for k in range(4)}
-    return counts.pooled(parts).select("id", "sample", *PLACE)
+    return counts.pooled_rows(reads(spark, sf_dir)).select("id", "sample", *PLACE)
+
+
+@query
+def interval_flags(spark, sf_dir):
+    """Emptiness and strand keys of reads and of reads cut at the end of their locus."""
+    df = reads(spark, sf_dir).withColumn("stop", F.greatest("start", F.expr("start div 1500 * 1500 + 1000")))
+    return df.select("id", "start", "stop", iv.is_empty("start", "stop").alias("empty"), iv.strand_key("strand", True).alias("matched"), iv.strand_key("strand", False).alias("any_strand"))
+
+
+@query
+def gene_kinds(spark, sf_dir):
+    """Feature kinds of GFF3 attributes by biotype."""
+    g = genes(spark, sf_dir)
+    attrs = F.when(F.col("gene_idx") % 3 == 0, "ID=a;gene_biotype=protein_coding").when(F.col("gene_idx") % 3 == 1, F.concat(F.lit("gene_biotype=ncRNA_"), F.col("gene_idx").cast("string"))).otherwise("ID=b")
+    return g.select("gene_idx", gff.kind(attrs).alias("kind"))
+
+
+@query
+def bed6_reads(spark, sf_dir):
+    """Reads of BED6 lines."""
+    return bed.as_reads(bed.parse_bed6(_bed_lines(spark, sf_dir)), "bed6").select(*PLACE, "id")
+
+
+@query
+def bed12_reads(spark, sf_dir):
+    """Reads of BED12 lines: the outer spans."""
+    line = F.concat_ws("\t", "contig", F.col("start").cast("string"), F.col("end").cast("string"), "id", F.lit("0"), "strand", F.col("start").cast("string"), F.col("end").cast("string"), F.lit("0"), F.lit("1"), (F.col("end") - F.col("start")).cast("string"), F.lit("0"))
+    return bed.as_reads(bed.parse_bed12(reads(spark, sf_dir).select(line.alias("value"))), "bed12").select(*PLACE, "id")
+
+
+@query
+def bam_scan(spark, sf_dir):
+    """Reads packed into BAM files in a column and decoded again; unmapped, secondary and spliced records are left out."""
+    return bam.decode(bam.packed(reads(spark, sf_dir))).select(F.col("chrom").alias("contig"), "start", "end", F.col("name").alias("id"), "score", "strand")
+
+
+@query
+def bed6_lines(spark, sf_dir):
+    """Units as BED6 lines."""
+    tus = _clustered(spark, sf_dir).tus
+    return tus.select("tu_id", F.concat_ws("\t", "contig", F.col("start").cast("string"), F.col("end").cast("string"), "tu_id", F.lit("0"), "strand").alias("line"))
+
+
+@query
+def bed12_lines(spark, sf_dir):
+    """Merged genes as BED12 lines of one block."""
+    m = ranges.merge_overlaps(genes(spark, sf_dir), ["contig", "strand"])
+    size = F.concat((F.col("end") - F.col("start")).cast("string"), F.lit(","))
+    line = writers.bed12_line(F.col("contig"), F.col("start"), F.col("end"), F.lit("m"), F.col("n_merged"), F.col("strand"), size, F.lit("0,"), F.lit(1))
+    return m.select(line.alias("line"))
 
 
 # range joins and islands
@@ -278,6 +326,33 @@ def recount(spark, sf_dir):
     return counts.recount(bed.parse_membership(lines), samples(spark, sf_dir), 20)
 
 
+@query
+def membership_scan(spark, sf_dir):
+    """Membership lines read again: tabs, further columns, notes and blank lines."""
+    m = _pooled(spark, sf_dir)
+    lines = m.select(F.concat_ws("\t", "id", "tu_id", F.lit("1.000000"), F.lit("0.9")).alias("value"))
+    notes = m.limit(3).select(F.lit("# note").alias("value")).union(m.limit(2).select(F.lit("").alias("value")))
+    return bed.parse_membership(lines.union(notes))
+
+
+@query
+def tu_counts_least(spark, sf_dir):
+    """Units of 20 reads at least, under the ids that they have."""
+    return counts.unit_counts(_clustered(spark, sf_dir).membership, 20)
+
+
+@query
+def unknown_samples(spark, sf_dir):
+    """Samples of pooled ids that a shorter list lacks."""
+    return counts.unknown_samples(_pooled(spark, sf_dir), samples(spark, sf_dir).filter("grp = 'even'"))
+
+
+@query
+def unit_ids(spark, sf_dir):
+    """The different units of each sample, in order."""
+    return counts.unit_ids(_pooled(spark, sf_dir))
+
+
 @query
 def fractional_counts(spark, sf_dir):
     """Orders as isoforms, parts as subreads they share, some parts left out."""
@@ -316,6 +391,16 @@ def gene_sample_matrix(spark, sf_dir):
     return long.groupBy("gene_idx", "gene_id").pivot("sample", names).agg(F.sum("count")).na.fill(0, names)
 
 
+@query
+def gene_group_matrix(spark, sf_dir):
+    df = reads(spark, sf_dir).withColumn("id", iv.pooled_id("sample", "id"))
+    c = cluster.cluster(df)
+    g = genes(spark, sf_dir)
+    by = counts.group_counts(counts.sample_counts(c.membership), samples(spark, sf_dir))
+    names = ["even", "odd"]
+    return counts.gene_counts(g, _hits(spark, sf_dir, c), by, ["grp"]).groupBy("gene_idx", "gene_id").pivot("grp", names).agg(F.sum("count")).na.fill(0, names)
+
+
 @query
 def bed12_blocks(spark, sf_dir):
     c = _clustered(spark, sf_dir)
@@ -329,7 +414,7 @@ def junction_subset(spark, sf_dir):
     t = g.groupBy("contig", "strand", "locus").agg(F.array_sort(F.collect_list(F.struct(F.expr("start div 100 * 100").alias("start"), (F.expr("start div 100 * 100") + 50).alias("end")))).alias("x"))
     t = t.withColumn("x", F.array_distinct("x"))
     other = t.select("contig", "locus", F.col("strand").alias("other"), F.col("x").alias("y"))
-    return t.join(other, ["contig", "locus"]).filter("strand <> other").select("contig", "locus", "strand", "other", F.size(iv.introns("x")).cast("long").alias("n_introns"), iv.junctions_subset("x", "y").alias("part"), (iv.introns("x") == iv.introns("y")).alias("same"))
+    return t.join(other, ["contig", "locus"]).filter("strand <> other").select("contig", "locus", "strand", "other", F.size(iv.introns("x")).cast("long").alias("n_introns"), iv.junctions_subset("x", "y").alias("part"), iv.junctions_equal("contig", F.lit("+"), "x", "contig", F.lit("+"), "y").alias("same"))
 
 
 def _transcripts(spark, sf_dir):
@@ -343,6 +428,12 @@ def representative_transcripts(spark, sf_dir):
     return transcripts.representative(t, ["chrom", "strand", "locus"])
 
 
+@query
+def transcript_order(spark, sf_dir):
+    """The places of transcripts in the order chromosome, start, end, strand, name."""
+    return ranges.ranked(durable(_transcripts(spark, sf_dir), "transcripts"), ["chrom", "tx_start", "tx_end", "strand", "name"], "place")[0]
+
+
 @query
 def intersect_transcripts(spark, sf_dir):
     """Reads against genes as spans, any strand, 300 positions at least, counted by gene."""

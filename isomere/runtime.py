@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -18,14 +19,16 @@ BROADCAST_ROWS = 20_000
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (single-machine tests) is a local
-    temporary folder chosen instead.
+    Only in a session of one machine that names none, as in tests, is a local
+    temporary folder chosen instead; on a cluster that is an error.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             base = held.get()
+        elif not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         else:
             folder = tempfile.mkdtemp(prefix="isomere-")
             atexit.register(shutil.rmtree, folder, ignore_errors=True)

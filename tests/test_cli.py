@@ -91,6 +91,79 @@ def test_bam(spark, tmp_path):
     assert bam.read_bam(spark, str(tmp_path / "long.bam")).count() == 5000
 
 
+def test_bgzf_blocks_and_plain_gzip():
+    import gzip
+    import zlib
+
+    data = bytes(range(256)) * 2000
+    rows = [dict(name=f"r{k}", flag=0, ref=0, pos=k, mapq=9, cigar=[(0, 7)]) for k in range(3000)]
+    raw = bam.bam_bytes([("chr1", 10**6)], rows)
+    whole = b"".join(bam.inflate(raw))
+    assert whole[:4] == b"BAM\1" and len(list(bam.records(raw))) == 3000 and len(list(bam.inflate(raw))) > 1
+    assert b"".join(bam.inflate(gzip.compress(data) + gzip.compress(data[:77]))) == data + data[:77]
+    for broken in (raw[:-5], gzip.compress(data)[:-9]):
+        with pytest.raises((ValueError, zlib.error)):
+            list(bam.inflate(broken))
+
+
+STUB = """#!{python}
+import sys
+sys.path.insert(0, {repo!r})
+from isomere.sources import bam
+name, args = {name!r}, sys.argv[1:]
+if name == "minimap2":
+    if "broken" in args[-1]:
+        sys.exit("cannot map")
+    assert "-t" in args and args[-2].endswith("ref.fa")
+    print("\\n".join(x[1:].strip() for x in open(args[-1]) if x.startswith("@")))
+elif args[0] == "view":
+    sys.stdout.write(sys.stdin.read())
+elif args[0] == "sort":
+    rows = [dict(name=x.split(":")[0], flag=0, ref=0, pos=int(x.split(":")[1]), mapq=30, cigar=[(0, 100)]) for x in sys.stdin.read().split()]
+    bam.write_bam(args[args.index("-o") + 1], [("chr1", 10000)], rows)
+else:
+    open(args[1] + ".bai", "w").close()
+"""
+
+
+@pytest.fixture
+def stubs(tmp_path, monkeypatch):
+    for name in ("minimap2", "samtools"):
+        at = Path(put(tmp_path / "bin" / name, STUB.format(python=sys.executable, repo=str(REPO), name=name)))
+        at.chmod(0o755)
+    monkeypatch.setenv("PATH", f"{tmp_path / 'bin'}:/usr/bin:/bin")
+    put(tmp_path / "ref.fa", ">chr1\nACGT\n")
+    put(tmp_path / "a.fastq", "@a1:100\nA\n+\nI\n@a2:101\nA\n+\nI\n")
+    put(tmp_path / "b.fq", "@b1:100\nA\n+\nI\n@b2:500\nA\n+\nI\n")
+    return put(tmp_path / "m.tsv", "sample\tgroup\treads\nA\tx\ta.fastq\nB\ty\tb.fq\n")
+
+
+def test_map_and_run_with_stub_programs(spark, stubs, tmp_path, capsys):
+    out = tmp_path / "mapped"
+    common = ["--manifest", stubs, "--reference-fasta", str(tmp_path / "ref.fa")]
+    cli.main(["map", *common, "--out-dir", str(out), "--threads", "2"])
+    assert [x.split("\t")[:2] for x in lines(out / "samples.bam.tsv")[1:]] == [["A", "x"], ["B", "y"]]
+    assert lines(out / "bed/A.bed") == ["chr1\t100\t200\ta1\t30\t+", "chr1\t101\t201\ta2\t30\t+"]
+    assert (out / "bam/A.sorted.bam.bai").exists() and (out / "logs/A.0.minimap2.log").exists()
+    g = put(tmp_path / "x.gff", "chr1\ts\tgene\t51\t150\t.\t+\t.\tName=geneA\n")
+    cli.main(["run", *common, "--out-dir", str(tmp_path / "all"), "--annotation-gff", g, "--timings"])
+    results = tmp_path / "all/results"
+    assert lines(results / "tus.bed") == ["chr1\t100\t200\tTU000001\t0\t+", "chr1\t500\t600\tTU000002\t0\t+"]
+    assert lines(results / "tu_sample_matrix.tsv") == ["tu_id\tA\tB", "TU000001\t2\t1", "TU000002\t0\t1"]
+    assert lines(results / "gene_count.csv") == ["gene_id,count", "geneA,3"]
+    said = [x.split("\t")[0] for x in capsys.readouterr().err.splitlines() if x.endswith(" s")]
+    assert said == ["read", "cluster", "membership", "write and count", "annotate", "total"]
+
+
+def test_failed_mapping_is_an_error(spark, stubs, tmp_path):
+    put(tmp_path / "broken.fq", "@x:1\n")
+    m = put(tmp_path / "n.tsv", "sample\treads\nA\tbroken.fq\n")
+    with pytest.raises(SystemExit, match="mapping of sample 'A' failed"):
+        cli.main(["map", "--manifest", m, "--reference-fasta", str(tmp_path / "ref.fa"), "--out-dir", str(tmp_path / "o")])
+    with pytest.raises(SystemExit, match="threads"):
+        cli.session(0)
+
+
 def test_gff_to_bed(spark, tmp_path):
     g = put(tmp_path / "x.gff", "##gff-version 3\nchr1\ts\tgene\t11\t50\t.\t+\t.\tName=geneA\nchr1\ts\tCDS\t1\t2\t.\t+\t.\t.\n")
     cli.main(["gff-to-bed", "--annotation-gff", g, "--out-bed", str(tmp_path / "x.bed")])

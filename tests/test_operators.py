@@ -182,3 +182,70 @@ def test_transcripts(spark, tmp_path):
     line = "c\t100\t200\tt\t0\t+\t100\t200\t0\t2\t50,30,\t0,70,\tmore"
     writers.write_transcripts(str(tmp_path / "t.bed"), bed.parse_bed12(spark.createDataFrame([(line,)], "value string")))
     assert (tmp_path / "t.bed").read_text() == line + "\n"
+
+
+def islands_by_hand(rows):
+    """The number of the chain of each (key, start, end), in order."""
+    out, last = {}, {}
+    for key, start, end in sorted(rows):
+        n, top = last.get(key, (0, None))
+        if top is None or start >= top:
+            n, top = n + 1, end
+        last[key] = n, max(top, end)
+        out[key, start, end] = n
+    return out
+
+
+def test_islands_sessions_and_neighbours_across_bins(spark, monkeypatch):
+    rng = random.Random(1)
+    for width in (7, 50, 1 << 16):
+        monkeypatch.setattr(ranges, "SPAN", width)
+        rows = {(rng.choice("ab"), s := rng.randint(0, 900), s + rng.choice([1, 3, 10, 120])) for _ in range(150)}
+        df = spark.createDataFrame(sorted(rows), "k string, start long, end long")
+        assert {(r.k, r.start, r.end): r.island for r in ranges.islands(df, ["k"]).collect()} == islands_by_hand(rows)
+        want, last = {}, {}
+        for k, x in sorted({(k, x) for k, x, _ in rows}):
+            n, before = last.get(k, (0, None))
+            want[k, x] = n + (before is None or x - before > 9)
+            last[k] = want[k, x], x
+        assert {(r.k, r.start): r.run for r in ranges.sessions(df, ["k"], F.col("start"), 9, "run").collect()} == want
+        marks = spark.createDataFrame([("a", m) for m in (5, 77, 400, 401)], "k string, mark long")
+        got = {(r.k, r.start): (r.p, r.n) for r in ranges.neighbours(df, marks, ["k"], "start", "mark", "p", "n").collect()}
+        assert got == {(k, x): (max((m for m in (5, 77, 400, 401) if m <= x), default=None), min((m for m in (5, 77, 400, 401) if m >= x), default=None)) if k == "a" else (None, None) for k, x, _ in rows}
+
+
+def test_ranks_in_one_task_and_by_ranges(spark):
+    df = spark.createDataFrame([(k * 7 % 101, str(k)) for k in range(500)], "x long, y string")
+    for limit in (10, 1000):
+        got, n = ranges.ranked(df, [F.col("x").desc(), "y"], "place", limit)
+        rows = sorted(got.collect(), key=lambda r: r.place)
+        assert n == 500 and [r.place for r in rows] == list(range(1, 501))
+        assert [(r.x, r.y) for r in rows] == sorted(((r.x, r.y) for r in rows), key=lambda t: (-t[0], t[1]))
+
+
+def test_nearest_units_and_hints_by_brute_force(spark):
+    rng = random.Random(4)
+    p = missed.MissedParams()
+    span = lambda n: [(rng.choice(["c1", "c2"]), rng.choice("+-"), s := rng.randint(0, 3000), s + rng.randint(0, 400)) for _ in range(n)]
+    three = lambda r: r[2] if r[1] == "-" else r[3]
+    five = lambda r: r[3] if r[1] == "-" else r[2]
+    cands, tus, genes = span(60), [x for x in span(90) if x[0] == "c1" or x[1] == "+"], [x for x in span(25) if x[0] == "c1"] + [("c1", "+", 50, 50), ("c1", "-", 900, 900)]
+    c = spark.createDataFrame([(i, *x, three(x), five(x), 5) for i, x in enumerate(cands)], "family long, contig string, strand string, start long, end long, c3 long, c5 long, mode_support long")
+    t = spark.createDataFrame([(*x, f"t{i}", i) for i, x in enumerate(tus)], "contig string, strand string, start long, end long, tu_id string, tu_idx long")
+    got = {r.family: r for r in missed.nearest_units(c, t, p).collect()}
+    score2 = lambda a, b: max(0, min(a[3], b[3]) - max(a[2], b[2])) / max(a[3] - a[2], b[3] - b[2], 1)
+    for i, x in enumerate(cands):
+        own = [(abs(three(u) - three(x)), abs(five(u) - five(x)), -score2(x, u), k) for k, u in enumerate(tus) if u[:2] == x[:2]]
+        if any(a <= p.window3 and b <= p.window5 for a, b, _, _ in own):
+            assert i not in got
+            continue
+        any3, any5 = any(a <= p.window3 for a, *_ in own), any(b <= p.window5 for _, b, *_ in own)
+        assert got[i].reason == ("boundary_mode_shifted" if any3 and any5 else "same_3p_missing_5p_mode" if any3 else "same_5p_missing_3p_mode" if any5 else "no_matching_tu")
+        assert got[i].nearest_tu_id == (f"t{min(own)[3]}" if own else None) and got[i].d3 == (min(own)[0] if own else None)
+    g = spark.createDataFrame([(*x, i, f"g{i}") for i, x in enumerate(genes)], "contig string, strand string, start long, end long, gene_idx long, gene_id string")
+    hints = {r.family: r.gene_hint for r in missed.gene_hints(c, g).collect()}
+    for i, x in enumerate(cands):
+        own = [(k, y) for k, y in enumerate(genes) if y[:2] == x[:2]]
+        over = [f"g{k}" for k, y in own if min(x[3], y[3]) - max(x[2], y[2]) > 0]
+        far = min(((max(0, y[2] - x[3], x[2] - y[3]), k) for k, y in own), default=None)
+        assert hints[i] == (",".join(over) or (f"g{far[1]}" if far else "."))
