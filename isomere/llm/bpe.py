@@ -7,7 +7,9 @@ pre-token, the adjacent pair whose joined piece has the lowest rank, which is
 byte-level BPE. Decoding is the inverse mapping of ids to bytes.
 
 Null texts count as empty (no ids, no bytes); repeated rows are kept; other
-columns than the two named are dropped.
+columns than the two named are dropped; an empty table gives an empty table.
+Texts of any length are encoded whole, one at a time, in memory as their tokens
+take.
 """
 from __future__ import annotations
 
@@ -26,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import ship
+from .batches import by_bytes
 
 #: Pre-tokens longer than this are encoded anew each time; the memo is emptied at MEMO entries.
 MEMO_CHARS, MEMO = 64, 250_000
@@ -178,13 +181,12 @@ def encode_column(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id"
     """
 
     ship(df.sparkSession)
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()  # millions of small acyclic tuples: nothing to collect
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(path, pattern)
         sha = hashlib.sha256
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
+            for part in by_bytes(batch, 1, ROWS):
                 keys, counts, first, second = part.column(0), [], [], []
                 for text in part.column(1).to_pylist():
                     if digests:
@@ -200,6 +202,13 @@ def encode_column(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id"
                 else:
                     yield pa.RecordBatch.from_arrays([keys, pa.array(first, pa.list_(pa.int32())), pa.array(second, pa.binary())], [id_col, "ids", "decoded"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # millions of small acyclic tuples: nothing to collect
+        try:
+            yield from coded(batches)
+        finally:
+            gc.enable()
+
     kind = df.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, " + ("n_tokens bigint, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded binary")
     return df.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, schema)
