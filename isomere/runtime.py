@@ -68,6 +68,11 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def plan_bytes(df: DataFrame) -> int:
+    """Spark's estimate of the size of ``df``, from the sizes of the files that it reads; no job is run."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the Python workers, once per application."""
     sc = spark.sparkContext

@@ -81,6 +81,8 @@ def test_both_ways_equal_the_model(spark, seed, options):
     want = plain(rows, p.t1, p.t2, p.tolerance, p.max_five)
     assert units(spark, rows, p) == want
     assert units(spark, rows, p, island=0) == want
+    # islands found bin by bin and dealt to tasks
+    assert units(spark, rows, p, whole=0) == want and units(spark, rows, p, whole=0, island=3) == want
 
 
 def test_island_solver_equals_the_model():
