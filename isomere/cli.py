@@ -119,14 +119,21 @@ def run_cluster(a: argparse.Namespace) -> None:
         reads = reads.filter(iv.length("start", "end") >= a.min_read_len)
     if records:
         at = F.monotonically_increasing_id()
-        w.write_lines(a.out_pooled_reads, w.bed6(reads.withColumn("_at", at), "id", ["_at"]))
+        if a.parts:
+            w.write_parts(a.out_pooled_reads, reads.withColumns({"_at": at, "_zero": F.lit(0)}), ["_at"], "contig", "start", "end", "id", "_zero", "strand")
+        else:
+            w.write_lines(a.out_pooled_reads, w.bed6(reads.withColumn("_at", at), "id", ["_at"]))
     phases.end("read")
     c = cluster.cluster(reads, params, a.min_tu_count or 0)
     phases.end("cluster")
     members = durable(c.membership, "membership")
     phases.end("membership")
     w.write_lines(a.out_tu, w.bed6(c.tus, "tu_id", ["tu_id"]))
-    w.write_lines(a.out_membership, w.lines(members, [*PLACE, "id"], "id", "tu_id", "score1", "score2", scores=("score1", "score2")))
+    columns = dict(scores=("score1", "score2"))
+    if a.parts:
+        w.write_parts(a.out_membership, members, [*PLACE, "id"], "id", "tu_id", "score1", "score2", **columns)
+    else:
+        w.write_lines(a.out_membership, w.lines(members, [*PLACE, "id"], "id", "tu_id", "score1", "score2", **columns))
     long = None
     if records:
         keep, a.min_tu_count = a.min_tu_count, 0
@@ -318,6 +325,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--format", choices=["auto", "bed6", "bed12", "tsv"], default="auto")
     plain(c, "manifest", "out-dir", "out-tu", "out-membership", "out-pooled-reads", *units, "annotation-bed", "out-tu-gene", "out-tu-bed12", "out-gene-count", "out-gene-sample-count-matrix", "out-gene-group-count-matrix")
     thresholds(c)
+    c.add_argument("--parts", action="store_true", help="write membership and pooled reads as folders of ordered text files, from the executors")
     c.add_argument("--threads", type=int)
     c.add_argument("--timings", action="store_true")
 

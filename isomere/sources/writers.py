@@ -1,13 +1,15 @@
-"""Ordered single-file text outputs.
+"""Ordered text outputs: single files, or folders of ordered parts.
 
 Tables stay distributed until here; ``lines`` streams the sorted rows through
-the driver one partition at a time. Large outputs are better kept as Parquet.
+the driver one partition at a time, ``write_parts`` writes them from the
+executors.
 """
 from __future__ import annotations
 
 import os
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +34,18 @@ def lines(df: DataFrame, order: list, *cols: str, sep: str = "\t", scores: tuple
         yield sep.join(six(r[c]) if c in scores else str(r[c]) for c in cols)
 
 
+def write_parts(folder: str, df: DataFrame, order: list, *cols: str, sep: str = "\t", scores: tuple[str, ...] = ()) -> None:
+    """The same lines as text files of a folder, each sorted, whose names are in the order of their lines. The folder must not exist."""
+    names = list(cols)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*([("%.6f" % x) for x in c.to_pylist()] if n in scores else map(str, c.to_pylist()) for n, c in zip(names, batch.columns, strict=True)), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(map(sep.join, rows), pa.string())], ["value"])
+
+    df.repartitionByRange(*order).sortWithinPartitions(*order).select(*cols).mapInArrow(run, "value string").write.text(folder)
+
+
 def bed6(df: DataFrame, name: str, order: list, score: str | None = None) -> Iterable[str]:
     for r in df.orderBy(*order).toLocalIterator():
         yield "\t".join(map(str, (r["contig"], r["start"], r["end"], r[name], r[score] if score else 0, r["strand"])))

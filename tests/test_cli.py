@@ -192,6 +192,23 @@ def test_help():
     assert all(x in text for x in ("cluster", "recount", "diagnose-missed-tus", "rescue-missed-tus", "bam-to-bed", "gff-to-bed", "map", "run"))
 
 
+def test_outputs_in_parts(spark, two_samples, tmp_path):
+    for name, more in (("whole", []), ("parts", ["--parts"])):
+        cli.main(["cluster", "--manifest", two_samples, "--out-dir", str(tmp_path / name), *more])
+    for file in ("membership.tsv", "pooled.bed"):
+        parts = sorted((tmp_path / "parts" / file).glob("part-*"))
+        assert [x for p in parts for x in lines(p)] == lines(tmp_path / "whole" / file)
+
+
+def test_span_histogram(spark, tmp_path):
+    from isomere.streaming.folder import span_histogram
+
+    put(tmp_path / "in/a.bed", "chr1\t1\t5\ta\t0\t+\nchr1\t2\t6\tb\t0\t+\nchr1\t20000\t20006\tc\t0\t-\n")
+    q = span_histogram(spark, str(tmp_path / "in")).writeStream.format("memory").queryName("spans").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    assert sorted(map(tuple, spark.table("spans").collect())) == [("chr1", "+", 0, 2), ("chr1", "-", 2, 1)]
+
+
 def test_stream(spark, tmp_path):
     from isomere.streaming.folder import watch_bed
 
