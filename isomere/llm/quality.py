@@ -175,19 +175,19 @@ def train(docs: DataFrame, labels: DataFrame, by: int = 5, held: int = 0, max_ro
     return fit(np.array([r["stats"] for r in got], np.float64).reshape(len(got), len(STATS)), [(np.frombuffer(r["at"], np.int32), np.frombuffer(r["val"], np.float32)) for r in got], np.array([r["y"] for r in got], np.float64))
 
 
-def scored(docs: DataFrame, machine: Machine, out: str = "score", text_col: str = "text") -> DataFrame:
-    """``docs`` with all its columns, whatever their names, and the score as one more, called ``out`` (a column of that name is replaced)."""
+def scored(docs: DataFrame, machine: Machine, out: str = "score", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` of ``docs`` (all, by default), whatever their names, and the score as one more, called ``out`` (a column of that name is replaced)."""
     spark = docs.sparkSession
     ship(spark)
     held = spark.sparkContext.broadcast(machine)
-    names = [c for c in docs.columns if c != out]
-    at = names.index(text_col)
-    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"))
+    names = [c for c in (docs.columns if keep is None else keep) if c != out]
+    at = names.index(text_col) if text_col in names else -1
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), *([F.col(f"`{text_col}`").cast("string").alias("text")] if at < 0 else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         for batch in batches:
-            texts = batch.column(0).field(at).cast(pa.string())
+            texts = batch.column(1) if at < 0 else batch.column(0).field(at).cast(pa.string())
             done = 0
             for part in by_bytes(pa.RecordBatch.from_arrays([texts], ["text"]), 0, 256):
                 scores = m.score(part.column(0).to_pylist())

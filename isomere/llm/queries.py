@@ -62,7 +62,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     machine = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.scored(docs, machine).select("doc_id", F.coalesce(quality.remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return quality.scored(docs, machine, keep=["doc_id"]).select("doc_id", F.coalesce(quality.remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -219,6 +219,23 @@ def test_repeats_in_long_texts_and_names(spark, monkeypatch):
     assert repeats.cleaned(df).columns == df.columns and len(got[1].text) == by_hand[1][0] - by_hand[1][1]
 
 
+def test_scan_of_a_long_text_in_bounded_memory():
+    raw = np.random.default_rng(1).integers(97, 123, 6_000_000, dtype=np.uint8).tobytes()
+    tracemalloc.start()
+    work = repeats._Scan()
+    work.add(7, raw)
+    work.flush()
+    rows = work.take()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows.num_rows > 50_000 and {7} == set(rows.column(0).unique().to_pylist())
+    assert peak < 40e6  # segments, at 40 bytes each, and a piece of 64 kB at work
+    # the segments cover every window start once, in order
+    at = rows.column(4).to_numpy()
+    first, more = at >> 11, (at >> 1) & 1023
+    assert first[0] == 0 and (first[1:] == first[:-1] + more[:-1] + 1).all() and first[-1] + more[-1] == len(raw) - repeats.WINDOW
+
+
 def links_by_hand(rows, threshold=0.93):
     fine = [i for i, (_, e, l) in enumerate(rows) if l is not None and e and all(x is not None and np.isfinite(x) for x in e) and any(e)]
     out = [(0, r[0]) for r in rows]

@@ -336,6 +336,12 @@ def test_toxicity_trains_alike_in_spark_and_in_process(spark):
     local = toxicity.learn([(t, y) for k, t, y in rows if crc32(str(k).encode()) % 4 != 2])
     assert {"blarg", "zonk"} <= set(local.lexicon)
     assert all((d.score(t) >= 0.3) == bool(y) for _, t, y in rows)
+    # every score of the query by hand
+    for r, (_, t, _) in zip(toxicity.scored(df, d).orderBy("doc_id").collect(), rows, strict=True):
+        tokens = toxicity.tokens_of(t)
+        found = clause_weights_by_hand(tokens, d.lexicon)
+        x = [max(found), np.log1p(sum(found)), np.log1p(100 * sum(found) / len(tokens))] if found else [0, 0, 0]
+        assert r.score == pytest.approx(1 / (1 + np.exp(-d.weights[0] - sum(w * v for w, v in zip(d.weights[1:], x, strict=True)))))
 
 
 def test_toxic_grammar():
