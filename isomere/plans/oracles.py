@@ -270,3 +270,10 @@ ORACLES["unknown_samples"] = _with(READS) + "SELECT DISTINCT sample FROM reads W
 ORACLES["unit_ids"] = CLUSTER + "SELECT sample, string_agg(DISTINCT tu_id, ',' ORDER BY tu_id) AS tu_ids FROM members GROUP BY sample"
 ORACLES["gene_group_matrix"] = CLUSTER.rstrip() + f",\n{GENES},\n{HITS},\n{LONG},\n{SAMPLES},\nk AS (SELECT gene_idx, grp, sum(count) AS count FROM hits JOIN long USING (tu_id) JOIN samples USING (sample) GROUP BY ALL)\nSELECT g.gene_idx, g.gene_id, {_wide(['even', 'odd'], 'grp')} FROM genes g LEFT JOIN k USING (gene_idx) GROUP BY ALL"
 ORACLES["transcript_order"] = _with(READS) + 'SELECT contig AS chrom, strand, start AS tx_start, "end" AS tx_end, id AS name, row_number() OVER (ORDER BY contig, start, "end", strand, id) AS place FROM reads'
+ORACLES["pooled_lines"] = _with(READS) + """SELECT concat_ws(chr(9), contig, start, "end", sample || '::' || id, 0, strand) AS value FROM reads"""
+ORACLES["gene_lines"] = _with(GENES) + """SELECT concat_ws(chr(9), contig, start, "end", gene_id, 0, strand) AS value FROM genes"""
+ORACLES["membership_lines"] = CLUSTER + "SELECT concat_ws(chr(9), id, tu_id, printf('%.6f', score1), printf('%.6f', score2)) AS value FROM members"
+ORACLES["tu_count_lines"] = CLUSTER + "SELECT tu_id || ',' || n_reads AS value FROM tus"
+ORACLES["sample_count_lines"] = CLUSTER + "SELECT tu_id || chr(9) || sample || chr(9) || count(*) AS value FROM members GROUP BY tu_id, sample"
+ORACLES["tu_gene_lines"] = CLUSTER.rstrip() + f",\n{GENES},\n{HITS}\nSELECT concat_ws(chr(9), contig, strand, tu_id, tu_start, tu_end, gene_id, gene_start, gene_end, overlap_bp) AS value FROM hits"
+ORACLES["read_unit_lines"] = _cluster(attach=False) + "SELECT id || chr(9) || tu_id AS value FROM members"

@@ -142,6 +142,46 @@ def bed6_lines(spark, sf_dir):
     return tus.select("tu_id", F.concat_ws("\t", "contig", F.col("start").cast("string"), F.col("end").cast("string"), "tu_id", F.lit("0"), "strand").alias("line"))
 
 
+@query
+def pooled_lines(spark, sf_dir):
+    """Reads under pooled ids as BED6 lines."""
+    return writers.text(counts.pooled_rows(reads(spark, sf_dir)).withColumn("zero", F.lit(0)), "contig", "start", "end", "id", "zero", "strand")
+
+
+@query
+def gene_lines(spark, sf_dir):
+    """Genes as BED6 lines."""
+    return writers.text(genes(spark, sf_dir).withColumn("zero", F.lit(0)), "contig", "start", "end", "gene_id", "zero", "strand")
+
+
+@query
+def membership_lines(spark, sf_dir):
+    """Memberships with scores of six decimals."""
+    return writers.text(_clustered(spark, sf_dir).membership, "id", "tu_id", "score1", "score2", scores=("score1", "score2"))
+
+
+@query
+def tu_count_lines(spark, sf_dir):
+    return writers.text(_clustered(spark, sf_dir).tus, "tu_id", "n_reads", sep=",")
+
+
+@query
+def sample_count_lines(spark, sf_dir):
+    return writers.text(counts.sample_counts(_pooled(spark, sf_dir)), "tu_id", "sample", "count")
+
+
+@query
+def tu_gene_lines(spark, sf_dir):
+    hits = annotate.unit_genes(_clustered(spark, sf_dir).tus, genes(spark, sf_dir))
+    return writers.text(hits, "contig", "strand", "tu_id", "tu_start", "tu_end", "gene_id", "gene_start", "gene_end", "overlap_bp")
+
+
+@query
+def read_unit_lines(spark, sf_dir):
+    """(read, isoform) lines, the units of seeds alone being the isoforms."""
+    return writers.text(_clustered(spark, sf_dir, cluster.ClusterParams(attach=False)).membership, "id", "tu_id")
+
+
 @query
 def bed12_lines(spark, sf_dir):
     """Merged genes as BED12 lines of one block."""

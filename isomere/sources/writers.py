@@ -34,16 +34,21 @@ def lines(df: DataFrame, order: list, *cols: str, sep: str = "\t", scores: tuple
         yield sep.join(six(r[c]) if c in scores else str(r[c]) for c in cols)
 
 
-def write_parts(folder: str, df: DataFrame, order: list, *cols: str, sep: str = "\t", scores: tuple[str, ...] = ()) -> None:
-    """The same lines as text files of a folder, each sorted, whose names are in the order of their lines. The folder must not exist."""
+def text(df: DataFrame, *cols: str, sep: str = "\t", scores: tuple[str, ...] = ()) -> DataFrame:
+    """(value): the same lines, made on the executors."""
     names = list(cols)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = zip(*([("%.6f" % x) for x in c.to_pylist()] if n in scores else map(str, c.to_pylist()) for n, c in zip(names, batch.columns, strict=True)), strict=True)
+            rows = zip(*(["%.6f" % x for x in c.to_pylist()] if n in scores else map(str, c.to_pylist()) for n, c in zip(names, batch.columns, strict=True)), strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(map(sep.join, rows), pa.string())], ["value"])
 
-    df.repartitionByRange(*order).sortWithinPartitions(*order).select(*cols).mapInArrow(run, "value string").write.text(folder)
+    return df.select(*cols).mapInArrow(run, "value string")
+
+
+def write_parts(folder: str, df: DataFrame, order: list, *cols: str, sep: str = "\t", scores: tuple[str, ...] = ()) -> None:
+    """The lines as text files of a folder, each sorted, whose names are in the order of their lines. The folder must not exist."""
+    text(df.repartitionByRange(*order).sortWithinPartitions(*order), *cols, sep=sep, scores=scores).write.text(folder)
 
 
 def bed6(df: DataFrame, name: str, order: list, score: str | None = None) -> Iterable[str]:
