@@ -9,6 +9,8 @@ from isomere.sources import bam, manifest
 
 REPO = Path(__file__).resolve().parent.parent
 
+# The input lines and the expected files of the tests below are golden values of the formats.
+
 
 def put(path, text):
     path.parent.mkdir(parents=True, exist_ok=True)

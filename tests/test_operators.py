@@ -7,6 +7,7 @@ from isomere.functions import intervals as iv
 from isomere.operators import annotate, counts, missed, ranges
 from isomere.sources import bed, gff
 
+# Where tests name inputs and results literally, they are golden values of the definitions.
 PLACE = "contig string, strand string, start long, end long"
 
 
