@@ -221,8 +221,8 @@ def overlap_join_any_strand(spark, sf_dir):
 
 @query
 def regions_islands(spark, sf_dir):
-    at = ranges.islands(reads(spark, sf_dir), ["contig", "strand"])
-    return _long(at.groupBy("contig", "strand", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n")), "island")
+    at = ranges.islands(cluster.distinct_intervals(reads(spark, sf_dir)), ["contig", "strand"])
+    return _long(at.groupBy("contig", "strand", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n_reads").alias("n")), "island")
 
 
 @query
