@@ -11,6 +11,8 @@ from ..runtime import durable, small
 
 #: Positions in a bin of the overlap join; in a bin that is sorted as one; rows that one task may number or that are broadcast.
 BIN, SPAN, SMALL = 4096, 1 << 16, 200_000
+#: What is summed along positions: rows begun, rows ended, starts less ends.
+SUMS = ("_begun", "_ended", "_sum")
 
 
 def _binned(df: DataFrame, start: str, end: str, width: int, out: str) -> DataFrame:
@@ -61,6 +63,37 @@ def islands(df: DataFrame, keys: list[str], start: str = "start", end: str = "en
     return rows.withColumn(out, F.col(out) + F.coalesce("_earlier", F.lit(0))).drop("_bin", "_reach", "_new", "_earlier")
 
 
+def overlap_counts(a: DataFrame, b: DataFrame, keys: list[str], by: list[str], min_bp: int = 1, a_cols: tuple[str, str] = ("start", "end"), b_cols: tuple[str, str] = ("b_start", "b_end")) -> DataFrame:
+    """``overlap_join`` counted by ``by``, columns of ``b``: ``n`` pairs that share ``overlap_bp`` positions in all; no pair is made.
+
+    All ends move down by ``min_bp`` - 1, so pairs of the rows still not empty
+    that share a position are the pairs wanted, each with as much less overlap.
+    The rows of ``a`` that meet [s, e) are those begun before e less those ended
+    by s; the positions of ``a`` before x are x times the rows open there, plus
+    the ends of those closed, less the starts of all. So a row of ``b`` is read
+    off running sums at its first and last position. The sums are taken over
+    the different ends and positions, in bins of ``SPAN``.
+    """
+    cut = max(1, min_bp) - 1
+
+    def ends(df, s, e, at, *more):
+        df = df.withColumns({"_s": F.col(s).cast("long"), "_e": F.col(e).cast("long") - cut}).filter("_s < _e")
+        return df.select(*keys, *(c for c in more if c not in keys), F.inline(F.array(*at)))
+
+    row = lambda x, begun, ended, sum_: F.struct(F.expr(x).alias("_x"), F.lit(begun).alias("_begun"), F.lit(ended).alias("_ended"), F.expr(sum_).alias("_sum"))
+    marks = ends(b, *b_cols, [F.struct(F.col("_s").alias("_x"), F.lit(False).alias("_last")), F.struct((F.col("_e") - 1).alias("_x"), F.lit(True).alias("_last"))], *by)
+    spots = ends(a, *a_cols, [row("_s", 1, 0, "_s"), row("_e", 0, 1, "-_e")]).union(marks.select(*keys, "_x", *(F.lit(0).alias(c) for c in SUMS)))
+    spots = _place(durable(spots.groupBy(*keys, "_x").agg(*(F.sum(c).alias(c) for c in SUMS)), "spots"), "_x")
+    w = Window.partitionBy(*keys, "_bin").orderBy("_x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    at = spots.select(*keys, "_bin", "_x", *(F.sum(c).over(w).alias(c) for c in SUMS))
+    at = at.join(_over_bins(spots, keys, **{f"{c}_earlier": (F.sum(c), F.sum) for c in SUMS}), [*keys, "_bin"])
+    at = durable(at.select(*keys, "_x", *(F.expr(f"{c} + coalesce({c}_earlier, 0)").alias(c) for c in SUMS)), "running")
+    read = marks.join(small(at, SMALL), [*keys, "_x"])
+    n = F.when(F.col("_last"), F.col("_begun")).otherwise(-F.col("_ended"))
+    bp = F.expr("if(_last, (_x + 1) * (_begun - _ended) - _sum, _sum - _x * (_begun - _ended))")
+    return read.groupBy(*by).agg(F.sum(n).alias("n"), F.sum(bp + n * cut).alias("overlap_bp")).filter("n > 0")
+
+
 def merge_overlaps(df: DataFrame, keys: list[str], start: str = "start", end: str = "end") -> DataFrame:
     """One row per island; touching intervals stay apart."""
     return islands(df, keys, start, end).groupBy(*keys, "island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n_merged")).drop("island")

@@ -478,8 +478,7 @@ def transcript_order(spark, sf_dir):
 def intersect_transcripts(spark, sf_dir):
     """Reads against genes as spans, any strand, 300 positions at least, counted by gene."""
     g = genes(spark, sf_dir).select(F.col("contig").alias("chrom"), "strand", F.col("start").alias("tx_start"), F.col("end").alias("tx_end"), F.col("gene_id").alias("name"))
-    pairs = transcripts.intersect_pairs(_transcripts(spark, sf_dir), g, min_bp=300)
-    return pairs.groupBy("b_name").agg(F.count("*").alias("n"), F.sum("overlap_bp").alias("overlap_bp"))
+    return transcripts.intersect_counts(_transcripts(spark, sf_dir), g, min_bp=300)
 
 
 # missed modes
